@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import simhash, token_store, tokens
+from tallyforge.llm import decontam, langid, mixing, quality, simhash, token_store, tokens
 from tallyforge.session import table
 
 
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -28,9 +32,26 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op7_quality, op9_language, op10_mix)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_token_counts": op3_token_counts, "op4_token_store": op4_token_store}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": decontam.ORACLE_SQL, "op10_mix": mixing.ORACLE_SQL}
