@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontam, langid, mixing, quality, simhash, token_store, tokens
+from tallyforge.llm import decontam, langid, linedup, mixing, quality, simhash, suffix, token_store, tokens
 from tallyforge.session import table
 
 
@@ -32,6 +32,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +54,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op7_quality, op9_language, op10_mix)
+_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op5_line_dedup, op6_repeats, op7_quality, op9_language, op10_mix)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
