@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontam, langid, linedup, mixing, quality, simhash, suffix, token_store, tokens
+from tallyforge.llm import ann, decontam, langid, linedup, mixing, quality, simhash, suffix, token_store, tokens
 from tallyforge.session import table
 
 
@@ -45,6 +45,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -54,7 +59,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op5_line_dedup, op6_repeats, op7_quality, op9_language, op10_mix)
+_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op5_line_dedup, op6_repeats, op7_quality, op8_neighbours, op9_language, op10_mix)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
