@@ -91,3 +91,25 @@ offers AS (SELECT l_partkey AS product_id, supplier_id, printf('R%d-%d', l_suppk
   FROM picked JOIN suppliers ON l_suppkey = supplier_id JOIN agencies USING (supplier_id) WHERE active),
 cart_lines AS (SELECT l_orderkey AS cart_id, l_partkey AS product_id, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1, 2)
 """
+
+
+def supplier_products(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each supplier and part with a line item; every seventh part is unmapped."""
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    sp = li.select("l_suppkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
+    k = F.col("l_partkey")
+    source = F.element_at(F.array(*map(F.lit, ("manual", "exact_rule", "ean", "equiv", "import"))), (k % 5 + 1).cast("int"))
+    return sp.select(
+        (F.col("l_suppkey") * 10_000_000 + k).alias("sp_id"), F.col("l_suppkey").alias("supplier_id"), F.format_string("R%d-%d", "l_suppkey", "l_partkey").alias("supplier_reference"),
+        F.when(k % 7 != 0, k).alias("product_id"), F.when(k % 7 != 0, source).alias("correction_source"), F.col("p_name").alias("designation"), F.col("p_brand").alias("brand"),
+        (k % 19 != 0).alias("active"), (F.col("l_suppkey") % 6 + 1).alias("catalog_id"),
+    )
+
+
+SP_SQL = """
+supplier_products AS (SELECT l_suppkey * 10000000 + l_partkey AS sp_id, l_suppkey AS supplier_id, printf('R%d-%d', l_suppkey, l_partkey) AS supplier_reference,
+  CASE WHEN l_partkey % 7 <> 0 THEN l_partkey END AS product_id,
+  CASE WHEN l_partkey % 7 <> 0 THEN ['manual', 'exact_rule', 'ean', 'equiv', 'import'][l_partkey % 5 + 1] END AS correction_source,
+  p_name AS designation, p_brand AS brand, l_partkey % 19 <> 0 AS active, l_suppkey % 6 + 1 AS catalog_id
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey)
+"""
