@@ -13,6 +13,11 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 @lru_cache
 def _folding() -> tuple[str, str, dict[str, str]]:
     """What compatibility decomposition without combining marks makes of letters and signs, by rule."""
@@ -132,22 +137,29 @@ def dimensions(text) -> Column:
 
     A small bare third number is in mm. Doubled boards such as '13 + 80' give null.
     """
-    folded = fold(text)
     pattern = rf"(?<![\d.,]){_NUMBER}\s*(mm|cm|m)?\s*[x*×]\s*{_NUMBER}\s*(mm|cm|m)?\s*[x*×]\s*(?:ep\.?\s*)?{_NUMBER}\s*(mm|cm|m)?\b(?!\s*\+)"
-    part = lambda i: F.regexp_extract(folded, pattern, i)
-    shared = F.coalesce(F.nullif(part(2), F.lit("")), F.nullif(part(4), F.lit("")), F.nullif(part(6), F.lit("")), F.lit(""))
-    num = lambda i: parse_number(part(i))
-    a, b = to_mm(num(1), F.coalesce(F.nullif(part(2), F.lit("")), shared), bare_small_as_meters=True), to_mm(num(3), F.coalesce(F.nullif(part(4), F.lit("")), shared), bare_small_as_meters=True)
-    third = F.nullif(part(6), F.lit(""))
-    c = to_mm(num(5), F.when(third.isNotNull(), third).when(num(5) < 100, F.lit("mm")).otherwise(shared), 1, 1000)
-    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), F.struct(F.greatest(a, b).alias("length_mm"), F.least(a, b).alias("width_mm"), c.alias("thickness_mm")))
+
+    def measure(p: Column) -> Column:
+        unit = lambda i: F.nullif(p[i], F.lit(""))
+        shared = F.coalesce(unit(1), unit(3), unit(5), F.lit(""))
+        a, b = (to_mm(parse_number(p[i]), F.coalesce(unit(i + 1), shared), bare_small_as_meters=True) for i in (0, 2))
+        third = parse_number(p[4])
+        c = to_mm(third, F.when(unit(5).isNotNull(), unit(5)).when(third < 100, F.lit("mm")).otherwise(shared), 1, 1000)
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+
+    whole = lambda m: F.when(
+        m["a"].isNotNull() & m["b"].isNotNull() & m["c"].isNotNull(),
+        F.struct(F.greatest(m["a"], m["b"]).alias("length_mm"), F.least(m["a"], m["b"]).alias("width_mm"), m["c"].alias("thickness_mm")),
+    )
+    parts = let(fold(text), lambda t: F.array(*(F.regexp_extract(t, pattern, i) for i in range(1, 7))))
+    return let(let(parts, measure), whole)
 
 
 def bar_length_mm(text) -> Column:
     """A bar's length between 500 and 12000 mm: 'longueur 3 m', 'L. 250 cm', '2,5 m', '3000 mm', in this order."""
-    folded = fold(text)
     ways = (rf"\b(?:longueur|long\.?|lg\.?|l\.?)\s*[:=]?\s*{_NUMBER}\s*(mm|cm|m)\b", rf"(?<![\dx.,]){_NUMBER}\s*(m)\b(?!m|²|2)", rf"(?<![\dx.,]){_NUMBER}\s*(mm)\b", rf"(?<![\dx.,]){_NUMBER}\s*(cm)\b")
-    return F.coalesce(*(to_mm(parse_number(F.regexp_extract(folded, p, 1)), F.nullif(F.regexp_extract(folded, p, 2), F.lit("")), 500, 12_000) for p in ways))
+    found = lambda t: F.coalesce(*(let(F.array(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)), lambda x: to_mm(parse_number(x[0]), F.nullif(x[1], F.lit("")), 500, 12_000)) for p in ways))
+    return let(fold(text), found)
 
 
 def piece_count(text) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.geo import grid_km, grid_minutes
 from tallyforge.operators.compare import best_lines, ranked_offers
 from tallyforge.operators.offers import available_quantity, geolocated
-from tallyforge.session import ensure_checkpoint_dir
+from tallyforge.session import written
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,6 @@ def best_tours(legs: DataFrame, max_stops: int, by: str = "cart_id") -> DataFram
     order of their keys, so that the order breaks ties by key. Exact for sets of any size up to
     ``max_stops``.
     """
-    ensure_checkpoint_dir(legs.sparkSession)
     bit = F.expr("shiftleft(1, j - 1)")
     state = legs.where("i = 0").select(by, bit.alias("mask"), F.col("j").alias("last"), "time", "dist", F.array("j").alias("ord"))
     every = [state]
@@ -60,7 +59,8 @@ def best_tours(legs: DataFrame, max_stops: int, by: str = "cart_id") -> DataFram
     for _ in range(max_stops - 1):
         grown = state.join(hops.withColumnsRenamed({"time": "t", "dist": "d"}), [by]).where("i = last and mask & bit = 0")
         new = grown.select(by, (F.col("mask").bitwiseOR(F.col("bit"))).alias("mask"), F.col("j").alias("last"), (F.col("time") + F.col("t")).alias("time"), (F.col("dist") + F.col("d")).alias("dist"), F.concat("ord", F.array("j")).alias("ord"))
-        state = new.groupBy(by, "mask", "last").agg(F.min(F.struct("time", "dist", "ord")).alias("x")).select(by, "mask", "last", "x.*").checkpoint()
+        state = new.groupBy(by, "mask", "last").agg(F.min(F.struct("time", "dist", "ord")).alias("x")).select(by, "mask", "last", "x.*")
+        state = written(state, "tours")
         every.append(state)
     home = legs.where("j = 0").select(by, F.col("i").alias("last"), F.col("time").alias("t"), F.col("dist").alias("d"))
     closed = reduce(DataFrame.unionByName, every).join(home, [by, "last"]).select(by, "mask", F.struct((F.col("time") + F.col("t")).alias("time"), (F.col("dist") + F.col("d")).alias("dist"), "ord").alias("x"))
@@ -73,9 +73,8 @@ def candidates(lines: DataFrame, offers: DataFrame, target: str, max_agencies: i
     ``lines``: cart_id, product_id, quantity, origin_lat, origin_lon. A cart with more eligible agencies
     than ``max_agencies`` is an error; none is dropped.
     """
-    ensure_checkpoint_dir(lines.sparkSession)
     eligible = ranked_offers(lines, offers, target).where(geolocated() & (available_quantity() >= F.col("quantity")))
-    eligible = eligible.checkpoint()
+    eligible = written(eligible, "eligible")
     n_lines = lines.groupBy("cart_id").agg(F.count("*").alias("n_lines"))
     keys = eligible.groupBy("cart_id").agg(F.array_sort(F.collect_set("agency_key")).alias("keys"), F.array_sort(F.collect_set("preparation_minutes")).alias("limits"))
     too_many = F.concat(F.lit("cart "), F.col("cart_id"), F.lit(f" has more than {max_agencies} eligible agencies"))
@@ -93,9 +92,9 @@ def candidates(lines: DataFrame, offers: DataFrame, target: str, max_agencies: i
     )
     whole = whole.join(n_lines, "cart_id").where("n = n_lines").dropDuplicates(["cart_id", "allocation"])
     places = full.groupBy("cart_id", "agency_key").agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"), F.first("keys").alias("keys"))
-    points = (places.select("cart_id", F.expr("cast(array_position(keys, agency_key) as int)").alias("idx"), "latitude", "longitude").union(
+    points = written(places.select("cart_id", F.expr("cast(array_position(keys, agency_key) as int)").alias("idx"), "latitude", "longitude").union(
         lines.select("cart_id", F.lit(0), "origin_lat", "origin_lon").distinct()
-    )).checkpoint()
+    ), "points")
     tours = best_tours(legs(points), max_agencies)
     rows = whole.join(tours, ["cart_id", "mask"]).join(keys.select("cart_id", "keys"), "cart_id")
     rows = rows.select(
@@ -114,7 +113,7 @@ def strategies(lines: DataFrame, offers: DataFrame, target: str = "HT", max_agen
     The least materials may come from a national catalogue, without a tour; a plan with stores takes
     its place unless it costs more. A plan that doesn't exist is a row with valid false.
     """
-    found = candidates(lines, offers, target, max_agencies, params).checkpoint()
+    found = written(candidates(lines, offers, target, max_agencies, params), "plans")
     rank = "cost, materials, stops, travel, stop_keys"
     take = lambda rows, order: rows.withColumn("r", F.expr(f"row_number() over (partition by cart_id order by {order})")).where("r = 1").drop("r")
     shape = lambda rows, name: rows.select("cart_id", F.lit(name).alias("strategy"), F.lit(True).alias("valid"), "materials", "cost", "stops", "km", "travel", "preparation", (F.col("travel") + F.col("preparation")).alias("total_minutes"), "stop_keys", "allocation")

@@ -103,7 +103,7 @@ def t01(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.fold("text")).alias("folded"))
 
 
-_TOKENS = r"list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+'), x -> length(x) >= 3)"
+_TOKENS = r"list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 3)"
 
 
 @query("t21_tokens", f"SELECT doc_id, len({_TOKENS})::INT AS tokens, md5(array_to_string({_TOKENS}, ' ')) AS hash FROM documents")
@@ -371,7 +371,7 @@ def j21(spark, sf):
 
 # Discovery and resolution
 
-_SEEDED = """WITH lab AS (SELECT p_partkey AS id, list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), x -> length(x) >= 3) AS tokens FROM part)"""
+_SEEDED = """WITH lab AS (SELECT p_partkey AS id, list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), lambda x: length(x) >= 3) AS tokens FROM part)"""
 
 
 @query("d02_clusters", _SEEDED + f""", t AS (SELECT DISTINCT id, unnest(tokens) AS term FROM lab), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 25),
