@@ -42,26 +42,39 @@ class Rule:
     exclude: str = ""
     most: dict = field(default_factory=dict, hash=False)
 
-    def applies(self, text) -> Column:
-        t = fold(text)
-        out = t.rlike(self.include)
-        return out & ~t.rlike(self.exclude) if self.exclude else out
-
-    def identity(self, text) -> dict[str, Column]:
-        if self.model is FASTENER:
-            d = diameter_length(text, (2, self.most.get("diameter", 8)), (10, self.most.get("length", 300)))
-            return {"type": F.lit(self.kind), "diameter_mm": d["diameter_mm"], "length_mm": d["length_mm"]}
-        if self.model is BOARD:
-            d = dimensions(text)
-            bound = lambda c, lo, hi: F.when(d[c].between(lo, hi), d[c])
-            return {"type": F.lit(self.kind), "length_mm": bound("length_mm", 200, 4000), "width_mm": bound("width_mm", 200, 2000), "thickness_mm": bound("thickness_mm", 3, self.most.get("thickness", 400))}
-        if self.model is PROFILE:
-            length = bar_length_mm(text)
-            nominal = length
-            for a, b in NOMINAL_LENGTHS.items():
-                nominal = F.when(length == a, b).otherwise(nominal)
-            return {"kind": F.lit(self.kind), "profile": profile_code(text), "nominal_length_mm": nominal}
-        return {"type": F.lit(self.kind), "weight_kg": (weight_g(text) / 1000).cast("decimal(9,3)")}
+    def applies(self, folded: Column) -> Column:
+        out = folded.rlike(self.include)
+        return out & ~folded.rlike(self.exclude) if self.exclude else out
+
+
+def _measures(text: Column) -> dict[str, Column]:
+    """What labels of any rule are read for; each is read once for all rules."""
+    return {"__screw": diameter_length(text, (2, 24), (10, 400)), "__board": dimensions(text), "__bar": bar_length_mm(text), "__profile": profile_code(text), "__weight": weight_g(text)}
+
+
+def _identity(rules: tuple[Rule, ...]) -> Column:
+    """The identity map of a row by its rule, from its measures."""
+    of = lambda value: F.create_map(*(F.lit(x) for r in rules for x in (r.code, value(r))))[F.col("rule")]
+    kind = of(lambda r: r.kind)
+    bound = lambda c, lo, hi: F.when(c.between(lo, hi), c)
+    screw, board, bar = F.col("__screw"), F.col("__board"), F.col("__bar")
+    wide, long, thick = of(lambda r: r.most.get("diameter", 8)), of(lambda r: r.most.get("length", 300)), of(lambda r: r.most.get("thickness", 400))
+    fits = screw["diameter_mm"].between(2, wide) & screw["length_mm"].between(10, long)
+    nominal = bar
+    for a, b in NOMINAL_LENGTHS.items():
+        nominal = F.when(bar == a, b).otherwise(nominal)
+    read = {
+        FASTENER: {"type": kind, "diameter_mm": F.when(fits, screw["diameter_mm"]), "length_mm": F.when(fits, screw["length_mm"])},
+        BOARD: {"type": kind, "length_mm": bound(board["length_mm"], 200, 4000), "width_mm": bound(board["width_mm"], 200, 2000), "thickness_mm": bound(board["thickness_mm"], 3, thick)},
+        PROFILE: {"kind": kind, "profile": F.col("__profile"), "nominal_length_mm": nominal},
+        BAGGED: {"type": kind, "weight_kg": (F.col("__weight") / 1000).cast("decimal(9,3)")},
+    }
+    out = F.lit(None).cast("map<string,string>")
+    for model, parts in read.items():
+        mine = [r.code for r in rules if r.model is model]
+        if mine:
+            out = F.when(F.col("rule").isin(mine), F.create_map(*(x for k, c in parts.items() for x in (F.lit(k), c.cast("string"))))).otherwise(out)
+    return out
 
 
 # The words of each category in folded labels.
@@ -99,12 +112,13 @@ def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "d
 
     identity is a map of the model's keys; an unknown one is null. The cheap pattern of a rule gates what it reads.
     """
-    rule, identity = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    rule = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: r.code, reverse=True):
-        hit = r.applies(text_col)
-        parts = [x for k, c in r.identity(text_col).items() for x in (F.lit(k), c.cast("string"))]
-        rule, identity = F.when(hit, r.code).otherwise(rule), F.when(hit, F.create_map(*parts)).otherwise(identity)
-    return rows.withColumn("rule", rule).withColumn("identity", identity)
+        rule = F.when(r.applies(F.col("__folded")), r.code).otherwise(rule)
+    ruled = rows.withColumn("__folded", fold(text_col)).withColumn("rule", rule)
+    # Only labels that a rule applies to are read.
+    read = {k: F.when(F.col("rule").isNotNull(), c) for k, c in _measures(F.col(text_col)).items()}
+    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop("__folded", *read)
 
 
 def match(rows: DataFrame, products: DataFrame, rule: Rule) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import geo, money, text, units
 from tallyforge.operators import catalog, compare, discover, live, offers as offer_ops, optimize, projects, resolve, upsert
 from tallyforge.operators.components import connected_components
-from tallyforge.session import table
+from tallyforge.session import table, written
 from tallyforge.sources import bind, demo, feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +421,11 @@ def _labels(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select(k.alias("id"), text_.alias("designation"), s.alias("s"))
 
 
+def _features(spark, sf) -> DataFrame:
+    """What labels are read for is stored once, and matched from there."""
+    return written(resolve.extract(_labels(spark, sf)), "features")
+
+
 @query("e10_rule_coverage", "SELECT rule, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN 'VIS_BETON' WHEN 1 THEN 'PANNEAU_OSB' WHEN 2 THEN 'OSSATURE_RAIL' WHEN 3 THEN 'CIMENT' END AS rule FROM part) GROUP BY 1")
 def e10(spark, sf):
     return resolve.extract(_labels(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
@@ -432,12 +437,12 @@ def e09(spark, sf):
     rule = next(r for r in resolve.RULES if r.code == "PANNEAU_OSB")
     ids = F.create_map(F.lit("type"), F.lit("osb"), F.lit("length_mm"), F.lit("2500"), F.lit("width_mm"), F.lit("1250"), F.lit("thickness_mm"), F.col("id").cast("string"))
     products = spark.range(9, 15).select(F.col("id").alias("product_id"), ids.alias("identity"))
-    return resolve.match(resolve.extract(_labels(spark, sf)), products, rule)
+    return resolve.match(_features(spark, sf), products, rule)
 
 
 @query("a24_product_seeds", """SELECT max(name) AS name, count(*) AS "references" FROM (SELECT 'Panneau OSB 3 2500 x 1250 x ' || (9 + p_size % 12) || ' mm' AS name FROM part WHERE p_partkey % 6 = 1) GROUP BY name""")
 def a24(spark, sf):
-    rows = resolve.extract(_labels(spark, sf)).where("rule = 'PANNEAU_OSB'")
+    rows = _features(spark, sf).where("rule = 'PANNEAU_OSB'")
     none = spark.createDataFrame([], "identity_key string")
     return resolve.product_seeds(rows, none, "PRD-").select("name", "references")
 
