@@ -212,12 +212,17 @@ def a10(spark, sf):
     return t.select("cart_id", "valid", money.cents("available_subtotal").alias("subtotal_cents"), money.cents("total").alias("total_cents"), "lines_available", "lines_partial", "lines_unavailable", "supplier_count", "agency_count", F.col("max_preparation_minutes").cast("int").alias("max_preparation_minutes"))
 
 
-@query("c07_unavailable", f"""{WITH}, seen AS (SELECT c.cart_id, c.product_id, bool_or(fulfillment IN ('delayed', 'order_only') OR (fulfillment IS NULL AND (stock > 0 OR latitude IS NULL))) AS usable, bool_or(fulfillment = 'unavailable') AS blocked, bool_or(fulfillment IS NULL) AS stocked
-  FROM cart_lines c JOIN offers o USING (product_id) WHERE o.tax_basis = 'HT' OR o.vat IS NOT NULL GROUP BY 1, 2)
+_ASKED = "asked AS (SELECT cart_id, product_id FROM cart_lines UNION ALL SELECT cart_id, product_id + 1000000 FROM cart_lines WHERE cart_id % 10 = 0)"
+
+
+@query("c07_unavailable", f"""{WITH}, {_ASKED}, seen AS (SELECT c.cart_id, c.product_id, bool_or(fulfillment IN ('delayed', 'order_only') OR (fulfillment IS NULL AND (stock > 0 OR latitude IS NULL))) AS usable, bool_or(fulfillment = 'unavailable') AS blocked, bool_or(fulfillment IS NULL) AS stocked
+  FROM asked c JOIN offers o USING (product_id) WHERE o.tax_basis = 'HT' OR o.vat IS NOT NULL GROUP BY 1, 2)
   SELECT cart_id, product_id, CASE WHEN usable IS NULL AND stocked IS NULL THEN 'no_offer' WHEN coalesce(blocked, false) AND NOT stocked THEN 'unavailable' ELSE 'out_of_stock' END AS reason
-  FROM cart_lines LEFT JOIN seen USING (cart_id, product_id) WHERE NOT coalesce(usable, false)""")
+  FROM asked LEFT JOIN seen USING (cart_id, product_id) WHERE NOT coalesce(usable, false)""")
 def c07(spark, sf):
-    return compare.unavailable_lines(bind.cart_lines(spark, sf), bind.offers(spark, sf), "HT").select("cart_id", "product_id", "reason")
+    lines = bind.cart_lines(spark, sf)
+    absent = lines.where("cart_id % 10 = 0").withColumn("product_id", F.col("product_id") + 1_000_000)
+    return compare.unavailable_lines(lines.unionByName(absent), bind.offers(spark, sf), "HT").select("cart_id", "product_id", "reason")
 
 
 @query("c08_options_by_city", _LINES.replace("PARTITION BY cart_id, product_id ORDER BY", "PARTITION BY cart_id, product_id, city ORDER BY") + "SELECT cart_id, city, sum(cents)::BIGINT AS subtotal_cents, count(*) FILTER (pool = 0) AS lines_available FROM best GROUP BY 1, 2")
@@ -318,11 +323,11 @@ def r13(spark, sf):
     return counts
 
 
-@query("j11_unique_ean", f"""{WITH_SP}, own AS (SELECT printf('%08d', p_partkey // 2) AS ean, p_partkey AS product_id FROM part), u AS (SELECT ean, min(product_id) AS found_id FROM own GROUP BY 1 HAVING count(DISTINCT product_id) = 1)
-  SELECT sp_id, found_id FROM supplier_products JOIN u ON printf('%08d', (sp_id % 10000000) // 2) = ean""")
+@query("j11_unique_ean", f"""{WITH_SP}, own AS (SELECT printf('%08d', p_partkey * 3 // 4) AS ean, p_partkey AS product_id FROM part), u AS (SELECT ean, min(product_id) AS found_id FROM own GROUP BY 1 HAVING count(DISTINCT product_id) = 1)
+  SELECT sp_id, found_id FROM supplier_products JOIN u ON printf('%08d', (sp_id % 10000000) * 3 // 4) = ean""")
 def j11(spark, sf):
-    p = table(spark, sf, "part").select(F.format_string("%08d", (F.col("p_partkey") / 2).cast("bigint")).alias("ean"), F.col("p_partkey").alias("product_id"))
-    sp = bind.supplier_products(spark, sf).withColumn("ean", F.format_string("%08d", (F.col("sp_id") % 10_000_000 / 2).cast("bigint")))
+    p = table(spark, sf, "part").select(F.format_string("%08d", F.expr("p_partkey * 3 div 4")).alias("ean"), F.col("p_partkey").alias("product_id"))
+    sp = bind.supplier_products(spark, sf).withColumn("ean", F.format_string("%08d", F.expr("sp_id % 10000000 * 3 div 4")))
     return catalog.unique_ean_matches(sp, p).select("sp_id", "found_id")
 
 
