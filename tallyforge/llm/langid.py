@@ -147,7 +147,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     model = LanguageModel(langs, code, tables, np.ones(code.shape[1]), 1.0)
     if len(langs) < 2:
         return model
-    some = known.orderBy(draw("id", "weigh"), "id").limit(WEIGH_DOCS).select("id", "lang", "text")
+    # Ids are drawn first, so that no text but the drawn ones is sorted or sent.
+    ids = known.select("id").orderBy(draw("id", "weigh"), "id").limit(WEIGH_DOCS).distinct()
+    some = known.join(F.broadcast(ids), "id").select("id", "lang", "text")
 
     def run(batches):
         for batch in batches:
