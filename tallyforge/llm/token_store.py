@@ -16,6 +16,8 @@ from tallyforge.session import ensure_checkpoint_dir, ship_package
 
 #: Ids of one sequence, sequences of one record batch.
 SEQUENCE, BATCH_ROWS = 2048, 256
+#: A control character that is one token, and how many words are encoded at once with it between them.
+MARK, TOGETHER = "\x01", 64
 #: Documents of one file, about.
 DOCS_PER_FILE = 20_000
 MANIFEST = "file_no int, path string, n_docs long, n_tokens long, index binary"
@@ -33,6 +35,25 @@ class PieceEncoder:
         self.tokenizer = load(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo = _workers.setdefault(("ids", path), {"": b""})
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, which are encoded TOGETHER at a time, with a mark between them that none of them holds."""
+        out: list = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if MARK not in w and len(w) <= 128] if self.mark is not None else []
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        joined = [f" {MARK} ".join(words[k] for k in g) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(g) - 1:
+                for k, a, b in zip(g, np.r_[0, marks + 1], np.r_[marks, len(ids)], strict=True):
+                    out[k] = ids[a:b].tobytes()
+        alone = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
@@ -42,8 +63,8 @@ class PieceEncoder:
         new = list({w for ws in split for w in ws} - memo.keys())
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (memo if len(w) <= 128 else long)[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+            for w, ids in zip(some, self._ids(some), strict=True):
+                (memo if len(w) <= 128 else long)[w] = ids
         if long:
             memo = memo | long if len(memo) < 1000 else _Both(memo, long)
         return [b"".join(map(memo.__getitem__, ws)) for ws in split]
@@ -129,21 +150,6 @@ class StreamFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _file_numbers(ids: DataFrame, per_file: int):
-    """(column, files): a file number that ascends with ``id``; equal ids share a file, null ids are in the first."""
-    files = max(1, -(-ids.count() // per_file))
-    cuts = []
-    if files > 1:
-        shares = [i / files for i in range(1, files)]
-        cuts = sorted(set(ids.select(F.percentile_approx("id", shares, 20 * files)).first()[0] or []))
-    if not cuts:
-        return F.lit(0), 1
-    # A cut is the last id of its file, so the number of cuts below an id is its file.
-    cuts_col = F.array(*(F.lit(c).cast("long") for c in cuts))
-    below = F.size(F.filter(cuts_col, lambda c: c < F.col("id")))
-    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(below), len(cuts) + 1
-
-
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
     sequence: int = SEQUENCE, per_file: int = DOCS_PER_FILE,
@@ -158,9 +164,10 @@ def write_token_files(
     """
     ship_package(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    file_no, files = _file_numbers(kept.select("id"), per_file)
-    kept = kept.withColumn("file_no", file_no)
-    dealt = kept.repartitionById(files, "file_no").sortWithinPartitions("file_no", "id", "text")
+    files = max(1, -(-kept.select("id").count() // per_file))
+    # Ranges of ids ascend with the partition; equal ids share one, nulls are in the first.
+    dealt = kept.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    dealt = dealt.withColumn("file_no", F.spark_partition_id())
 
     def run(batches):
         from pyarrow import fs
