@@ -36,21 +36,21 @@ def _floats(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, width: int) -> DataFrame:
-    """(id, q, s): vectors as bytes of one signed 8-bit step each, and the step's size; for navigation only."""
+    """(id, q, s): vectors as bytes of 32-bit floats in units of their largest component, and that; for navigation only."""
 
     def run(batches):
         for batch in batches:
             x = _floats(batch.column(1), width)
-            s = np.abs(x).max(1) / 127 if len(x) else np.zeros(0)
-            q = np.rint(x / s[:, None]).astype(np.int8) if len(x) else x
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(s.astype(np.float32))], ["id", "q", "s"])
+            s = np.abs(x).max(1) if len(x) else np.zeros(0)
+            q = (x / s[:, None]).astype(np.float32) if len(x) else x
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(s)], ["id", "q", "s"])
 
-    return rows.select("id", "v").mapInArrow(run, "id long, q binary, s float")
+    return rows.select("id", "v").mapInArrow(run, "id long, q binary, s double")
 
 
 def _unpack(q: pa.Array, s: pa.Array, width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(q.to_pylist()), np.int8).reshape(-1, width)
-    return raw.astype(np.float32) * s.to_numpy(zero_copy_only=False)[:, None]
+    raw = np.frombuffer(b"".join(q.to_pylist()), np.float32).reshape(-1, width)
+    return raw * s.to_numpy(zero_copy_only=False)[:, None]
 
 
 def _best(u: np.ndarray, w: np.ndarray, d: np.ndarray, k: int):
@@ -69,6 +69,7 @@ def _best(u: np.ndarray, w: np.ndarray, d: np.ndarray, k: int):
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
+    x = x - x.mean(0)  # about their middle, so that small differences of long vectors are not rounded away
     n = (x * x).sum(1)
     return np.maximum(n[:, None] + n[None] - 2 * x @ x.T, 0)
 
@@ -96,7 +97,7 @@ def _start(nodes: DataFrame, width: int, k: int, partitions: int, cell: int, n:
                 cells = mine @ (1 << np.arange(mine.shape[1])) if mine.shape[1] else np.zeros(batch.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([p] * batch.num_rows, pa.int32()), pa.array(cells, pa.int64()), *batch.columns], ["p", "cell", "id", "q", "s"])
 
-    coded = nodes.mapInArrow(code, "p int, cell long, id long, q binary, s float")
+    coded = nodes.mapInArrow(code, "p int, cell long, id long, q binary, s double")
     sizes = coded.groupBy("p", "cell").agg(F.count("*").alias("n"))
     dealt = coded.join(sizes, ["p", "cell"]).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.ceil(F.col("n") / cell)))
 
@@ -196,7 +197,7 @@ def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width:
     within reach of every block.
     """
     n = queries.count()
-    blocks = max(1, -(-n * width * 4 // QUERY_BYTES))
+    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
     links = graph.select("u", "w").union(graph.select("w", "u")).distinct().repartition("u").checkpoint()
     starts = nodes.select("id").orderBy(F.xxhash64(F.lit("start"), "id")).limit(entries)
     found = None
@@ -204,7 +205,7 @@ def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width:
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
         table = some.select("query", "v").orderBy("query").toArrow()
         ids = table["query"].to_numpy()
-        matrix = _floats(table["v"].combine_chunks(), width).astype(np.float32)
+        matrix = _floats(table["v"].combine_chunks(), width)
 
         def measure(batches, ids=ids, matrix=matrix):
             for batch in batches:
@@ -265,9 +266,8 @@ def nearest(
     asked = usable(queries, id_col, vec_col).join(heads.select("v", "node"), "v").select(F.col("id").alias("query"), "v", "node").checkpoint()
     graph = build_graph(nodes, width, neighbours, rounds)
     pool = search_graph(graph, nodes, asked, width, beam)
-    # Packed distances order nodes but for a small error; a few times k of them are measured on the originals.
-    close = pool.withColumn("r", F.expr("row_number() over (partition by query order by d, node)")).where(F.col("r") <= 5 * k + 10)
-    pairs = close.select("query", "node").join(asked.select("query", F.col("v").alias("a")), "query")
+    # The whole pool is measured on the originals.
+    pairs = pool.select("query", "node").join(asked.select("query", F.col("v").alias("a")), "query")
     pairs = pairs.join(members.select("node", "id", F.col("v").alias("b")), "node").where("query <> id")
 
     def exact(batches):
