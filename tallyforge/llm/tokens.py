@@ -7,16 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.batches import slices
 from tallyforge.session import ship_package
 
 #: Characters of a chunk, and of the overlap of two chunks at first.
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 13, 1 << 9
 #: A boundary counts as stable if its chunk goes on for so many characters beyond it. A
 #: pre-tokenizer decides on a boundary with a few characters of look-ahead, and an added token in
 #: a text (such as an end mark) is shorter.
 MARGIN = 64
-#: Pieces whose counts one worker keeps; beyond it the table starts anew.
-MEMO = 1_000_000
+#: Words whose ids one worker keeps; beyond it the table starts anew.
+MEMO = 200_000
 _workers: dict = {}
 
 
@@ -32,44 +33,6 @@ def load(path: str):
     return _workers[path]
 
 
-def pieces(text: str) -> list[str]:
-    """Split before each single space between two non-spaces; joined, they give the text.
-
-    Such a place ends a word in every context: no alternative of the byte-level word pattern goes
-    across it, no added token holds a space, and what follows starts a match of its own.
-    """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
-
-
-class PieceCounter:
-    """Counts tokens of chunks through counts of their pieces, which repeat."""
-
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.memo = _workers.setdefault(("counts", path), {})
-
-    def learn(self, texts: list[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.long = {}
-        new = list({p for t in texts for p in pieces(t)} - self.memo.keys())
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.memo if len(p) <= 128 else self.long)[p] = len(e)
-
-    def count(self, text: str) -> int:
-        memo, long = self.memo, self.long
-        return sum([memo[p] if len(p) <= 128 else long[p] for p in pieces(text)])
-
-
 def boundaries(tokenizer, text: str) -> tuple[np.ndarray, int]:
     """Offsets where words start in the encoded text, each with the number of tokens before it; and all tokens."""
     e = tokenizer.encode(text, add_special_tokens=False)
@@ -79,49 +42,41 @@ def boundaries(tokenizer, text: str) -> tuple[np.ndarray, int]:
     return np.stack([starts[first], first], 1) if len(first) else np.zeros((0, 2), np.int64), len(e)
 
 
-def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, count=None) -> int:
-    """Tokens of a text, encoded in overlapping chunks.
+def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, seen: list | None = None) -> int:
+    """Tokens of a text, encoded in overlapping chunks, each once and with offsets.
 
-    The counting of a chunk starts at a word boundary of the whole text. Its end overlaps the next
-    chunk. Both are encoded there, with offsets. A place where both start a word, with MARGIN
-    characters of the earlier chunk beyond it, is a boundary of the whole text as well: the earlier
-    chunk has seen all that decides on it, and from a common boundary on, both see the same text.
-    There the counts are spliced. If there is no such place, the overlap doubles; in the end it
-    takes the rest of the text.
+    A chunk's counting starts at a proven word boundary of the whole text. The next chunk starts inside
+    its end. A place where both start a word, with MARGIN characters of the earlier chunk beyond it, is a
+    boundary of the whole text as well: the earlier chunk has seen all that decides on it, and from a
+    common boundary on, both see the same text. There the counts are spliced, by the number of tokens
+    that each has before it. If there is no such place, the overlap doubles, and with it the chunk; in the
+    end it takes the rest of the text. ``seen`` gets the overlap that each seam took.
     """
-    count = count or (lambda t: len(tokenizer.encode(t, add_special_tokens=False)))
-    total, start = 0, 0
-    while len(text) - start > chunk:
+    begin, size, total, lead, proven = 0, chunk, 0, 0, 0
+    mine, n = boundaries(tokenizer, text[:size])
+    while begin + size < len(text):
         width = overlap
         while True:
-            end = start + chunk
+            end = begin + size
             if end >= len(text):
-                return total + count(text[start:])
-            seam = max(start, end - width)
-            head = _stable(text, start, seam)  # the earlier chunk's view of the overlap, from a boundary of its own
-            mine, _ = boundaries(tokenizer, text[head:end])
-            other, _ = boundaries(tokenizer, text[seam : end + width])
-            own = mine[:, 0] + head
-            common = np.intersect1d(own[own <= end - MARGIN], other[1:, 0] + seam)
-            common = common[common > max(start, seam)]
+                return total + n - lead
+            seam = max(begin, end - width)
+            other, m = boundaries(tokenizer, text[seam : seam + size])
+            own = mine[:, 0] + begin
+            common = np.intersect1d(own[(own <= end - MARGIN) & (own > proven)], other[1:, 0] + seam)
             if len(common):
-                cut = int(common[-1])
                 break
             width *= 2
-            if width > chunk:
-                chunk *= 2
-        total += count(text[start:cut])
-        start = cut
-    return total + count(text[start:])
-
-
-def _stable(text: str, start: int, seam: int) -> int:
-    """The last place before ``seam`` that pieces() would split at, or ``start``."""
-    at = seam
-    while (at := text.rfind(" ", start + 1, at)) > 0:
-        if not text[at - 1].isspace() and at + 1 < len(text) and not text[at + 1].isspace():
-            return at
-    return start
+            if width > size // 2:
+                size *= 2
+                mine, n = boundaries(tokenizer, text[begin : begin + size])
+        if seen is not None:
+            seen.append(width)
+        proven = int(common[-1])
+        total += int(mine[np.searchsorted(own, proven), 1]) - lead
+        lead = int(other[np.searchsorted(other[:, 0], proven - seam), 1])
+        begin, mine, n = seam, other, m
+    return total + n - lead
 
 
 def token_counts(
@@ -138,17 +93,17 @@ def token_counts(
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        counter = PieceCounter(tokenizer_path)
-        for batch in batches:
-            for some in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts = some.column(1).to_pylist()
-                counter.learn(texts)
-                n = [
-                    counter.count(t) if len(t) <= chunk else count_long(counter.tokenizer, t, chunk, overlap, lambda s: (counter.learn([s]), counter.count(s))[1])
-                    for t in texts
-                ]
-                size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        tokenizer = load(tokenizer_path)
+        for some in slices(batches):
+            texts = some.column(1).to_pylist()
+            short = [k for k, t in enumerate(texts) if len(t) <= chunk]
+            n = [0] * len(texts)
+            for k, e in zip(short, tokenizer.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
+                n[k] = len(e)
+            for k in set(range(len(texts))) - set(short):
+                n[k] = count_long(tokenizer, texts[k], chunk, overlap)
+            size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = kept.schema["id"].dataType.simpleString()
     counted = kept.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
