@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.batches import slices
 from tallyforge.llm.folds import draw, held_out
 from tallyforge.session import ship_package
 
@@ -19,11 +20,15 @@ MAX_BITS = 63
 #: Bound of the sample of learned documents on which bits are weighed and scores calibrated.
 WEIGH_DOCS = 5000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # digits in a ring, fractions and powers match, too, but are no letters
 #: Bytes outside words become spaces; bytes of other scripts and accents stay.
 _WORDS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the byte trigrams of lower-cased whole texts, and where each text's begin.
 
@@ -84,7 +89,7 @@ class LanguageModel:
 
     def decode(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, ambiguous) of each text; 'und' with score 0 if it has no letter."""
-        asked = [t is not None and bool(LETTER.search(t)) and bool(self.langs) for t in texts]
+        asked = [t is not None and has_letter(t) and bool(self.langs) for t in texts]
         langs, scores, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         rows = [i for i, a in enumerate(asked) if a]
         if rows:
@@ -102,7 +107,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 mine = [t for x, t in zip(langs, texts, strict=True) if x == lang]
@@ -152,7 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = known.join(F.broadcast(ids), "id").select("id", "lang", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             m = model.margins(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(m))], ["lang", "m"])
 
@@ -179,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, unsure = model.decode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
 
@@ -195,7 +200,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
 
     def run(batches):
         at = names.index(text_col)
-        for batch in batches:
+        for batch in slices(batches):
             langs, _, _ = model.decode(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN for x in langs]))
 
