@@ -202,14 +202,14 @@ def with_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     facts = facts.select(*(F.col(f"__{c}").alias(c) for c in ("source", "size", "block", "key")))
     plan = block_plan(facts, weights, share, most, blocks, shards, seed).select(
         F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"), "passes", "whole", "cut", "cut_key", F.col("shards").alias("__all"),
+        F.col("target").alias("__target"), *(F.col(c).alias(f"__{c}") for c in ("passes", "whole", "cut", "cut_key")), F.col("shards").alias("__all"),
     )
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("~"))  # noqa: E731  an equi-key in which null equals null
     joined = sized.withColumn("__n", name(F.col("__source"))).join(
         plan.withColumn("__m", name(F.col("__s"))), (F.col("__n") == F.col("__m")) & (F.col("__block") == F.col("__b"))
     )
-    copies = F.expr("passes + if(whole or (cut and __key <= cut_key), 1, 0)")
-    joined = joined.withColumn("__copies", F.coalesce(copies, F.col("passes")))
+    copies = F.expr("__passes + if(__whole or (__cut and __key <= __cut_key), 1, 0)")
+    joined = joined.withColumn("__copies", F.coalesce(copies, F.col("__passes")))
     return joined.select(
         *cols, "__source", "__size", "__source_size", "__target", "__copies", F.expr("slice(coalesce(__all, array()), 1, __copies)").alias("__shards")
     )
@@ -218,18 +218,21 @@ def with_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: every drawn copy of a document as a row, with its shard and its place there.
 
-    Adds ``shard`` and ``shard_key``; rows ordered by shard_key within a shard are shuffled.
+    Adds ``shard`` and ``shard_key``; rows ordered by shard_key within a shard are shuffled. Columns of
+    these names in ``docs`` give way to them.
     """
+    docs = docs.drop("shard", "shard_key")
     seed, id_col = how.get("seed", 0), how.get("id_col", "doc_id")
     rows = with_copies(docs, **how).select(*docs.columns, F.posexplode("__shards").alias("__copy", "shard"))
     return rows.withColumn("shard_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__copy"))).drop("__copy")
 
 
 def mixed_words(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """(id, size, source_size, target, taken) of every document: taken counts its words, repeats included."""
+    """(id, size, source_size, target, taken) of every document: taken counts the words of the
+    copies that the splitting tree dealt to the shards."""
     return with_copies(docs, id_col=id_col, keep=(id_col,), **how).select(
         id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
+        (F.col("__size") * F.size("__shards")).alias("taken"),
     )
 
 
