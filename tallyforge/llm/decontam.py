@@ -10,14 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tallyforge.llm.batches import slices
 from tallyforge.session import ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Characters of benchmark items that one scan of the documents searches for; more items take more scans.
-BLOCK_CHARS = 64_000_000
+BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes one worker keeps; beyond it the table starts anew.
+MEMO = 100_000
 _words: dict[str, int] = {}
 
 
@@ -29,7 +33,7 @@ def words_of(text: str | None) -> list[str]:
 def word_codes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    if len(_words) > 1_000_000:
+    if len(_words) > MEMO:
         _words.clear()
     out = []
     for w in words:
@@ -52,19 +56,20 @@ def shingle_codes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class ContainmentIndex:
-    """MinHash sketches of items, in partitions by their number of shingles.
+    """MinHash sketches of items, in partitions by their number of shingles, each with a table of its own.
 
     An item of n distinct shingles lies in a document at a threshold t if ceil(t n) of them do, so at
     most n - ceil(t n) miss. Its sketch holds its smallest shingle hashes, one more than may miss for
     the largest item of its partition (sizes from 2^k up to below 2^(k+1)): every document that
-    contains it has one of them at least, however long it is, and none is overlooked. Items of
-    under ``shingle`` words are one shingle of all their words.
+    contains it has one of them at least, however long it is, and none is overlooked. A document
+    with fewer shingles than a partition's smallest item needs passes that partition by. Items of
+    under ``shingle`` words are one shingle of all their words, in partitions by their length.
     """
 
     def __init__(self, items: list[tuple], shingle: int = SHINGLE, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.items: list[tuple[object, int, frozenset]] = []
-        by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        parts: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -72,19 +77,23 @@ class ContainmentIndex:
             n = min(shingle, len(words))
             codes = shingle_codes(word_codes(words), n)
             grams = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-            most = (1 << len(grams).bit_length()) - 1
-            sketch = np.unique(codes)[: most - math.ceil(threshold * most - 1e-9) + 1]
-            at = len(self.items)
+            size = len(grams).bit_length() - 1
+            for c in np.unique(codes)[: self.sketch_size(size)].tolist():
+                parts[n, size][c].append(len(self.items))
             self.items.append((item_id, n, frozenset(grams)))
-            for c in sketch.tolist():
-                by_length[n][c].append(at)
-        self.tables = []
-        for n, held in sorted(by_length.items()):
+        self.partitions = []
+        for (n, size), held in sorted(parts.items()):
             codes = np.array(sorted(held), dtype=np.uint64)
             bits = max(12, int(codes.size * 16).bit_length())
             bitmap = np.zeros(1 << bits, bool)
             bitmap[codes >> np.uint64(64 - bits)] = True
-            self.tables.append((n, codes, [held[c] for c in codes.tolist()], bitmap, np.uint64(64 - bits)))
+            least = math.ceil(threshold * (1 << size) - 1e-9)
+            self.partitions.append((n, least, codes, [held[c] for c in codes.tolist()], bitmap, np.uint64(64 - bits)))
+
+    def sketch_size(self, size: int) -> int:
+        """Hashes kept of an item in the partition of 2^size up to below 2^(size + 1) shingles."""
+        most = (2 << size) - 1
+        return most - math.ceil(self.threshold * most - 1e-9) + 1
 
     def search(self, text: str | None) -> list[tuple[object, int, int]]:
         """(item id, item's shingles, those in the text) of each item contained in the whole text."""
@@ -93,8 +102,13 @@ class ContainmentIndex:
             return []
         codes = word_codes(words)
         found: set[int] = set()
-        for n, sketch, items, bitmap, shift in self.tables:
-            mine = shingle_codes(codes, n)
+        all_of: dict[int, np.ndarray] = {}
+        for n, least, sketch, items, bitmap, shift in self.partitions:
+            if n not in all_of:
+                all_of[n] = shingle_codes(codes, n)
+            mine = all_of[n]
+            if len(mine) < least:
+                continue
             mine = mine[bitmap[mine >> shift]]
             if len(mine):
                 at = np.searchsorted(sketch, mine)
@@ -115,7 +129,7 @@ class ContainmentIndex:
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int):
     """The benchmark in blocks of bounded size, in id order, each small enough for the driver and every task."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for k in range(n):
@@ -136,19 +150,21 @@ def contained_items(
     ship_package(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
+    item_kind = benchmark.schema[item_id].dataType
+    item_kind, item_type = item_kind.simpleString(), to_arrow_type(item_kind)
     found = None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
         index = ContainmentIndex(block, shingle, threshold)
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in slices(batches):
                 hits = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.search(t)]
                 cols = list(zip(*hits, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "item_id", "n_shingles", "n_shared"]
+                    [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int64()) for c in cols[2:])], ["id", "item_id", "n_shingles", "n_shared"]
                 )
 
-        part = kept.mapInArrow(run, f"id {kind}, item_id long, n_shingles long, n_shared long")
+        part = kept.mapInArrow(run, f"id {kind}, item_id {item_kind}, n_shingles long, n_shared long")
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("id").alias(id_col), "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
@@ -162,7 +178,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         index = ContainmentIndex(block, shingle, threshold)
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not index.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
