@@ -85,8 +85,11 @@ def test_token_counts_equal_the_library(docs, texts, chunk, overlap):
 def test_chunks_resynchronise_after_hard_seams(texts):
     t = tokens.load(BYTE)
     text = "\n".join(x or "" for _, x in texts)[:40_000] + " don't <|endoftext|>\n\n  we'll 's" * 200
-    for chunk, overlap in ((900, 8), (257, 4), (5000, 100)):
-        assert tokens.count_long(t, text, chunk, overlap) == len(t.encode(text, add_special_tokens=False))
+    for chunk, overlap in ((900, 8), (257, 4), (5000, 100), (tokens.CHUNK, tokens.OVERLAP)):
+        seen = []
+        assert tokens.count_long(t, text, chunk, overlap, seen) == len(t.encode(text, add_special_tokens=False))
+        assert len(seen) >= len(text) // (4 * chunk) and (overlap > 8 or max(seen) > overlap)
+    assert tokens.count_long(t, "x" * 30_000, 512, 16) == len(t.encode("x" * 30_000, add_special_tokens=False))
 
 
 def test_token_store_round_trip(spark, docs, texts, empty):
@@ -134,34 +137,54 @@ def test_repeats_edge_cases(docs, empty):
         assert {(x - y) % v for x in d for y in d} == set(range(v))
 
 
-def test_near_lines_match_brute_force(spark):
+@pytest.mark.parametrize("direct", [1024, 8])
+def test_line_links_connect_what_brute_force_connects(spark, monkeypatch, direct):
+    monkeypatch.setattr(linedup, "LIST", direct)
     rng = random.Random(3)
     lines = set()
-    for _ in range(25):
-        base = "".join(rng.choice("abc dé") for _ in range(rng.randint(18, 40))).strip()
-        for _ in range(6):
-            s = list(base)
-            for _ in range(rng.randint(0, 3)):
-                k = rng.randrange(len(s))
-                s[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
-            lines.add("".join(s).strip())
-    df = spark.createDataFrame([(x,) for x in sorted(lines)], "norm string").select(F.xxhash64("norm").alias("line_id"), "norm")
-    name = {r.line_id: r.norm for r in df.collect()}
-    for k in (1, 2, 3):
-        got = {tuple(sorted((name[r.a], name[r.b]))): r.distance for r in linedup.near_lines(df, k).collect()}
-        some = sorted(x for x in lines if len(x) >= 20)
-        want = {(a, b): d for i, a in enumerate(some) for b in some[i + 1 :] if (d := brute.edits(a, b, k)) <= k}
-        assert got == want and want
+    for size, members, noise in ((20, 6, "xy"), (1, 250, ["", "xq", "yz", "w"])):
+        for _ in range(size):
+            base = "the quick brown fox jumps over the lazy dog" if size == 1 else "".join(rng.choice("abc dé") for _ in range(rng.randint(9, 40)))
+            for _ in range(members):
+                s = list(base)
+                for _ in range(rng.randint(0, 3)):
+                    k = rng.randrange(len(s))
+                    s[k : k + rng.randint(0, 1)] = rng.choice(noise)
+                lines.add("".join(s).strip())
+    lines = sorted(x for x in lines if x)
+    df = spark.createDataFrame(list(enumerate(lines)), "line long, norm string")
+    got = linedup.line_links(df).collect()
+    budget = lambda a, b: min(2, min(len(a), len(b)) // 10)
+    assert all(brute.edits(lines[r.a], lines[r.b], 2) == r.distance <= budget(lines[r.a], lines[r.b]) for r in got)
+    near = [(i, j) for i, a in enumerate(lines) for j in range(i + 1, len(lines)) if min(len(a), len(lines[j])) >= 10 and brute.edits(a, lines[j], 2) <= budget(a, lines[j])]
+    assert near and brute.components(range(len(lines)), [(r.a, r.b) for r in got]) == brute.components(range(len(lines)), near)
+
+
+def test_banded_distance_is_the_edit_distance(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(2, 90)))
+        s = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        if abs(len(s) - len(a)) <= 2:
+            rows.append((a, "".join(s)))
+    got = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", f"{linedup.banded_distance('x', 'y', 2)} AS d").collect()
+    for r in got:
+        d = brute.edits(r.x, r.y, 90)
+        assert r.d == d if d <= 2 else r.d > 2
 
 
 def test_line_report_counts_and_drops(spark, empty):
     long = "this is a line of some length"
-    rows = [(1, f"{long}\nshort\n{long}\n\n"), (2, f"{long}\n{long}s\nshort"), (3, None), (None, "short\nonly here, a different line"), (4, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: tuple(r[1:]) for r in linedup.line_report(df).collect()}
-    assert got == {1: (3, 1, 0, 1), 2: (3, 2, 1, 2), 3: (0, 0, 0, 0), None: (2, 1, 0, 0), 4: (0, 0, 0, 0)}
-    kept = {r.doc_id: r.text for r in linedup.drop_duplicate_lines(df).collect()}
-    assert kept == {1: f"{long}\nshort\n\n", 2: "", 3: None, None: "only here, a different line", 4: ""}
+    rows = [(1, f"{long}\nshort\n{long}\n\n"), (2, f"{long}\n \t{long.upper()}S\nshort"), (3, None), (None, "short\nonly here, a different line"), (4, ""), (5, "a short line one\nb"), (6, "a short line onf\n" + "word " * 20_000)]
+    df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], "id long, text string, norm string, line string, first_id int")
+    got = {r.id: tuple(r[1:]) for r in linedup.line_report(df, "id").collect()}
+    assert got == {1: (3, 1, 0, 1), 2: (3, 2, 1, 1), 3: (0, 0, 0, 0), None: (2, 1, 0, 0), 4: (0, 0, 0, 0), 5: (2, 0, 0, 1), 6: (2, 0, 1, 1)}
+    kept = {r.id: r.text for r in linedup.drop_duplicate_lines(df, "id").collect()}
+    assert kept[1] == f"{long}\nshort\n\n" and kept[2] == kept[4] == "" and kept[3] is None and kept[None] == "only here, a different line"
     assert linedup.line_report(empty).count() == 0
 
 
@@ -185,6 +208,8 @@ def test_containment_is_exact(spark, docs, texts, empty):
         got = [(str(r.doc_id), *r[1:4]) for r in decontam.contained_items(docs, bench, block_chars=chars).collect()]
         assert sorted(got) == sorted(want) and len(want) > 3
     assert decontam.drop_contaminated(docs, bench).count() == len(texts) - len({w[0] for w in want if w[0] != "9006"}) - sum(1 for w in want if w[0] == "9006")
+    named = bench.selectExpr("concat('item ', item_id) AS item_id", "text")
+    assert sorted((str(r.doc_id), r.item_id) for r in decontam.contained_items(docs, named).collect()) == sorted((w[0], f"item {w[1]}") for w in want)
     assert decontam.contained_items(docs, bench.limit(0)).count() == 0 and decontam.contained_items(empty, bench).count() == 0
 
 
@@ -202,6 +227,8 @@ def test_language_accuracy_and_odd_texts(spark, docs, empty):
     odd = {r.doc_id: r for r in langid.predict(docs, model).where("doc_id > 9000").collect()}
     assert odd[9001].lang_pred == odd[9002].lang_pred == "und" and odd[9001].score == 0 and odd[9001].ambiguous
     assert langid.keep_known(docs, model).columns == docs.columns
+    signs = spark.createDataFrame([(1, "½ ² ① 12"), (2, "12 ² a"), (3, "½" * 200_000 + "é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(signs, model).orderBy("doc_id").collect()] == [True, False, False]
     assert langid.predict(docs, langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
     assert (langid.codewords(40).shape, langid.codewords(1).shape) == ((40, 63), (1, 1))
 
@@ -263,6 +290,20 @@ def test_mix_meets_targets(spark, empty):
     mixed = mixing.mix(df)
     assert mixed.groupBy("shard").count().count() == mixing.SHARDS
     assert mixing.mixed_words(empty).count() == 0 and mixing.mix(empty).count() == 0
+    clash = df.selectExpr("*", "1 AS passes", "2 AS whole", "3 AS cut", "4 AS cut_key", "'x' AS shard", "5 AS shards")
+    again = mixing.mix(clash)
+    assert again.columns == [*(c for c in clash.columns if c != "shard"), "shard", "shard_key"]
+    assert {(r.doc_id, r.n) for r in again.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(r.doc_id, r.n) for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {(r.doc_id, r.n) for r in mixed.where("length(text) > 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(r.doc_id, r.taken // r.size) for r in got if r.taken}
+
+
+def test_taken_words_come_from_the_dealt_shards(spark, monkeypatch):
+    """A tree that loses a quota shows in the digest."""
+    df = spark.createDataFrame([(i, "two words", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    whole = mixing.mixed_words(df).agg(F.sum("taken")).first()[0]
+    deal = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: deal(*a).withColumn("quota", F.expr("if(shard = 0, 0L, quota)")))
+    assert mixing.mixed_words(df).agg(F.sum("taken")).first()[0] < whole
 
 
 def test_splitting_tree_is_exact(spark):
