@@ -6,9 +6,13 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -34,9 +38,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for what written() writes inside the block; it goes at the end, so keep results by checkpoint()."""
+    top = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(top)
+    try:
+        yield top
+    finally:
+        _scratch.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, and a lost executor loses nothing."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    top = _scratch.get() or ensure_checkpoint_dir(df.sparkSession)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
