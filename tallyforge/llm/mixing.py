@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import ensure_checkpoint_dir
+from tallyforge.session import ensure_checkpoint_dir, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -204,6 +204,8 @@ def with_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("source_size").alias("__source_size"),
         F.col("target").alias("__target"), *(F.col(c).alias(f"__{c}") for c in ("passes", "whole", "cut", "cut_key")), F.col("shards").alias("__all"),
     )
+    # Written, so that the planner knows its size: the documents are shuffled only where it is too large to be broadcast.
+    plan = written(plan, "mixing-plan")
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("~"))  # noqa: E731  an equi-key in which null equals null
     joined = sized.withColumn("__n", name(F.col("__source"))).join(
         plan.withColumn("__m", name(F.col("__s"))), (F.col("__n") == F.col("__m")) & (F.col("__block") == F.col("__b"))
