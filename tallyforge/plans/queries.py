@@ -232,8 +232,8 @@ def c08(spark, sf):
 
 
 def _demo_carts(spark, sf) -> DataFrame:
-    """Carts of three demo products each, one for each order."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("cart_id")).where("cart_id % 100 = 0")
+    """Carts of three demo products each, one for each customer."""
+    o = table(spark, sf, "customer").select(F.col("c_custkey").alias("cart_id"))
     line = F.explode(F.array(*(F.struct((F.pmod(F.xxhash64("cart_id", F.lit(i)), F.lit(17)) + 1).alias("product_id"), (F.pmod(F.xxhash64("cart_id", F.lit(i + 10)), F.lit(9)) + 1).cast("decimal(10,3)").alias("quantity")) for i in range(3)))).alias("x")
     lines = o.select("cart_id", line).select("cart_id", "x.*").groupBy("cart_id", "product_id").agg(F.sum("quantity").cast("decimal(10,3)").alias("quantity"))
     return lines.withColumn("origin_lat", F.lit(demo.ORIGIN[0])).withColumn("origin_lon", F.lit(demo.ORIGIN[1]))
@@ -241,7 +241,7 @@ def _demo_carts(spark, sf) -> DataFrame:
 
 @query("c14_strategies")
 def c14(spark, sf):
-    """Plans of demo carts; the search has no SQL form, tests hold it against all allocations."""
+    """Plans for every customer, each with a cart of demo products; the search has no SQL form, a test holds it against the published rows."""
     return optimize.strategies(_demo_carts(spark, sf), demo.offers(spark)).select(
         "cart_id", "strategy", "valid", money.cents("materials").alias("materials_cents"), money.cents("cost").alias("cost_cents"), "stops", F.col("km").cast("double").alias("km"), F.col("travel").cast("double").alias("travel"), F.array_join("stop_keys", ",").alias("tour")
     )
@@ -399,18 +399,18 @@ def d18(spark, sf):
     return r.select("seed", "size", "cohesion", F.array_join(F.transform("top_tokens", lambda x: x["term"]), " ").alias("top"))
 
 
-@query("a20_overlaps", """WITH m AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS m FROM lineitem WHERE l_suppkey <= 20), n AS (SELECT f, count(*) AS n FROM m GROUP BY 1),
+@query("a20_overlaps", """WITH m AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS m FROM lineitem), n AS (SELECT f, count(*) AS n FROM m GROUP BY 1),
   p AS (SELECT a.f AS a, b.f AS b, count(*) AS shared FROM m a JOIN m b ON a.m = b.m AND a.f < b.f GROUP BY 1, 2)
   SELECT a, b, shared, round(shared::DOUBLE / x.n, 4) AS a_in_b, round(shared::DOUBLE / y.n, 4) AS b_in_a, round(shared::DOUBLE / (x.n + y.n - shared), 4) AS jaccard FROM p JOIN n x ON a = x.f JOIN n y ON b = y.f""")
 def a20(spark, sf):
-    members = table(spark, sf, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("family"), F.col("l_partkey").alias("id"))
+    members = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("family"), F.col("l_partkey").alias("id"))
     return discover.overlaps(members)
 
 
-@query("a21_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_suppkey = 1), g AS (SELECT DISTINCT x.p AS a, y.p AS b FROM e x JOIN e y USING (o)),
-  r(v, w) AS (SELECT a, b FROM g UNION SELECT r.v, g.b FROM r JOIN g ON r.w = g.a) SELECT v AS vertex, min(w) AS component FROM r GROUP BY 1 HAVING count(*) > 1""")
+@query("a21_components")
 def a21(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_suppkey = 1").select("l_orderkey", "l_partkey").distinct()
+    """Parts that orders connect, over all line items; no SQL, as the recursion is too slow there: tests hold it against brute force."""
+    e = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     first = e.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
     return connected_components(e.join(first, "l_orderkey").select("a", F.col("l_partkey").alias("b")))
 
@@ -504,11 +504,17 @@ def l03(spark, sf):
     return cache.select("store", "supplier_reference", only.alias("freshness"))
 
 
-@query("l04_refresh_plan", """WITH w AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 5 = 0) SELECT count(*) AS wanted FROM w""")
+@query("l04_refresh_plan", """WITH u AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 1 END AS price, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 END AS stock FROM events),
+  c AS (SELECT user_id, event_type, max(ts) FILTER (price IS NOT NULL) + INTERVAL 2 DAY AS pe, max(ts) FILTER (stock IS NOT NULL) + INTERVAL 6 HOUR AS se, max(stock) AS st FROM u WHERE user_id % 4 <> 0 GROUP BY 1, 2),
+  w AS (SELECT DISTINCT user_id, event_type FROM events),
+  s AS (SELECT w.*, pe, st, pe IS NOT NULL AND pe > TIMESTAMP '2024-01-29 00:00:00' AS pf, se IS NOT NULL AND se > TIMESTAMP '2024-01-29 00:00:00' AS sf, pe IS NULL AND se IS NULL AS none FROM w LEFT JOIN c USING (user_id, event_type))
+  SELECT user_id::VARCHAR AS store, event_type AS supplier_reference, CASE WHEN none THEN 'missing' WHEN pf AND sf THEN 'fresh' WHEN pf THEN 'price_fresh_stock_stale' WHEN sf THEN 'stock_fresh_price_stale' ELSE 'stale' END AS freshness, NOT (pf AND sf) AS needs_refresh FROM s WHERE pe IS NOT NULL OR none""")
 def l04(spark, sf):
+    """The plan for all keys, of which a quarter of the stores has no cached row; keys without a price are l03's matter."""
     u = _updates(spark, sf)
-    plan = live.refresh_plan(u.where("event_id % 5 = 0"), live.latest_offers(u), F.expr("timestamp_ntz '2024-01-29 00:00:00'"))
-    return plan.agg(F.count("*").alias("wanted"))
+    cache = live.latest_offers(u.where("store % 4 <> 0"))
+    plan = live.refresh_plan(u, cache, F.expr("timestamp_ntz '2024-01-29 00:00:00'"))
+    return plan.join(cache.where("price_ht is null").select("store", "supplier_reference"), ["store", "supplier_reference"], "left_anti").drop("connector")
 
 
 @query("s18_concentration", """WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), t AS (SELECT n FROM c ORDER BY n DESC LIMIT 2), s AS (SELECT max(n) AS a, sum(n) AS b FROM t), z AS (SELECT sum(n) AS t FROM c)
@@ -534,3 +540,6 @@ def ext_windows(spark, sf):
     """Extension: hourly event counts; the streaming form is tallyforge.streaming.offers.event_counts."""
     e = table(spark, sf, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+from tallyforge.plans import administration  # noqa: E402, F401  registers its queries
