@@ -20,28 +20,62 @@ def let(value: Column, f) -> Column:
 
 @lru_cache
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """What compatibility decomposition without combining marks makes of letters and signs, by rule."""
-    one, to, more = [], [], {}
-    for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]):
+    """Compatibility decomposition without combining marks, of all of Unicode but the Hangul syllables.
+
+    Signs with one sign instead, then the marks, which translate() drops as they have no counterpart; and what
+    becomes several signs.
+    """
+    one, to, gone, more = [], [], [], {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if "\ud800" <= c <= "\udfff" or "\uac00" <= c <= "\ud7a3":
+            continue
         d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if d == c:
             continue
-        if len(d) == 1:
+        if not d:
+            gone.append(c)
+        elif len(d) == 1:
             one.append(c)
             to.append(d)
         else:
             more[c] = d
-    return "".join(one), "".join(to), more
+    return "".join(one + gone), "".join(to), more
+
+
+@lru_cache
+def _several() -> str:
+    """A character class, as ranges, of the signs that become several, and the Hangul syllables."""
+    codes, spans = sorted([*map(ord, _folding()[2]), *range(0xAC00, 0xD7A4)]), []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def _expanded(text: Column) -> Column:
+    """``text`` with each sign that decomposes into several written out; Hangul syllables by their arithmetic."""
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{d}" for c, d in _folding()[2].items())), F.lit("\x01"), F.lit("\x02"))
+    jamo = lambda first, n: F.lit("".join(map(chr, range(first, first + n))))
+
+    def syllable(c: Column) -> Column:
+        k = F.ascii(c) - 0xAC00
+        tail = F.when(k % 28 > 0, F.substring(jamo(0x11A8, 27), k % 28, 1)).otherwise("")
+        return F.concat(F.substring(jamo(0x1100, 19), F.floor(k / 588).cast("int") + 1, 1), F.substring(jamo(0x1161, 21), F.floor(k % 588 / 28).cast("int") + 1, 1), tail)
+
+    sign = lambda c: F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).when(c.rlike(_several()), table[c]).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), sign), "")
 
 
 def fold(text) -> Column:
-    """Lower case without accents and compatibility forms; letters that don't decompose (œ, ø) stay."""
-    one, to, more = _folding()
-    out = F.translate(_col(text), one, to)
-    for c in ("½", "¼", "¾", "…", "™", "№", "ﬁ", "ﬂ", "ﬀ", "´", "¨", "¸", "¯"):
-        if c in more:
-            out = F.replace(out, F.lit(c), F.lit(more[c]))
-    return F.lower(F.regexp_replace(out, r"\p{Mn}+", ""))
+    """Lower case without accents and in compatibility form (NFKD); letters that don't decompose (œ, ø) stay.
+
+    Signs that become several (㎡, ﬃ, ½) are rare: only texts that hold one are taken apart.
+    """
+    one, to, _ = _folding()
+    t = _col(text)
+    return F.lower(F.translate(F.when(t.rlike(_several()), _expanded(t)).otherwise(t), one, to))
 
 
 def parse_number(text) -> Column:
@@ -116,20 +150,20 @@ def power_w(text) -> Column:
     return F.when(n.between(1, 50_000), n)
 
 
-def _mm_pairs(text, pattern: str, d_low, d_high, l_low, l_high, l_unit: str) -> Column:
-    """Diameter and length of the first plausible pair; implausible ones before it are skipped."""
-    folded = fold(text)
-    num = lambda i: F.transform(F.regexp_extract_all(folded, F.lit(pattern), F.lit(i)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("decimal(10,3)"))
-    unit = F.regexp_extract_all(folded, F.lit(pattern), F.lit(3)) if l_unit else num(1)
-    pairs = F.arrays_zip(num(1).alias("d"), num(2).alias("l"), unit.alias("u"))
-    length = lambda p: F.round(p["l"] * F.when(p["u"].cast("string") == "cm", 10).otherwise(1), 0).cast("int")
-    fine = F.filter(pairs, lambda p: p["d"].between(d_low, d_high) & length(p).between(l_low, l_high))
-    return F.try_element_at(F.transform(fine, lambda p: F.struct(p["d"].cast("decimal(8,2)").alias("diameter_mm"), length(p).alias("length_mm"))), F.lit(1))
+# The forms of a diameter and a length in folded labels.
+_PAIR = r"(?<![\d.,])(\d{1,2}(?:[.,]\d{1,2})?)\s*(?:mm)?\s*[x*×]\s*(\d{1,3}(?:[.,]\d{1,2})?)(?!\d)\s*(?:mm)?"
+
+
+def diameter_lengths(text) -> Column:
+    """array(struct(diameter_mm, length_mm)) of all pairs like 4,5x60 or Ø 4 x 40 mm, plausible or not, in their order."""
+    num = lambda t, i: F.transform(F.regexp_extract_all(t, F.lit(_PAIR), F.lit(i)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("decimal(8,2)"))
+    pair = lambda d, l: F.struct(d.alias("diameter_mm"), F.round(l, 0).cast("int").alias("length_mm"))  # noqa: E731, E741
+    return let(fold(text), lambda t: F.zip_with(num(t, 1), num(t, 2), pair))
 
 
 def diameter_length(text, d=(2, 8), l=(10, 200)) -> Column:  # noqa: E741
-    """struct(diameter_mm, length_mm) from forms like 4,5x60 or Ø 4 x 40 mm."""
-    return _mm_pairs(text, rf"(?:ø\s*|d\s*)?(?<![\d.,x]){_NUMBER}\s*(?:mm)?\s*[x*×]\s*{_NUMBER}\s*(mm|cm)?(?![\d.,]*\s*[x*×])", *d, *l, "u")
+    """struct(diameter_mm, length_mm): the first pair within the bounds; implausible ones before it are skipped."""
+    return F.try_element_at(F.filter(diameter_lengths(text), lambda p: p["diameter_mm"].between(*d) & p["length_mm"].between(*l)), F.lit(1))
 
 
 def dimensions(text) -> Column:
@@ -162,19 +196,93 @@ def bar_length_mm(text) -> Column:
     return let(fold(text), found)
 
 
+# Packs and profiles in folded labels.
+_PACK = r"\b(?:lot|pack|paquet|botte|colis|boite|bte|seau|sachet)\s*(?:de\s*)?(\d{1,4})\b(?!\s*(?:kg|g\b|mg|l\b|ml\b|cl\b|m\b|mm\b|cm\b|v\b|w\b))"
+_PIECES = r"\b(\d{1,3}(?:\s\d{3})*|\d{1,5})\s*(?:pieces?|pcs?)\b"
+_PROFILE = r"\b(r\s*48|r\s*70|r\s*90|r\s*100|m\s*48|m\s*70|m\s*90|f\s*45|m48\d{2})\b"
+_RAIL = r"\brail\s+de\s+(48|70|90|100)\b"
+_MONTANT = r"\bmontant\s+(48|70|90)\b"
+_FOURRURE = r"\bfourrure\s+(?:profilee\s+)?(?:galvanisee?\s+)?(45)\b"
+
+
+def _count(folded: Column, pattern: str, most: int) -> Column:
+    n = F.regexp_replace(F.regexp_extract(folded, pattern, 1), r"\s", "").try_cast("int")
+    return F.when(n.between(1, most), n)
+
+
+def lot_quantity(text) -> Column:
+    """Pieces in a lot, box or bag, up to 1000; a mass, a volume or a length is no count."""
+    return _count(fold(text), _PACK, 1000)
+
+
 def piece_count(text) -> Column:
-    """Pieces in a pack up to 100000: 'N pièces' first, then 'lot de N', 'boîte de N'."""
-    folded = fold(text)
-    ways = (r"\b(\d{1,6})\s*(?:pieces?|pcs)\b", r"\b(?:lot|boite|sachet|paquet|sac|seau|blister)s?\s+de\s+(\d{1,6})\b(?!\s*(?:kg|g|l|ml|cl|m)\b)", r"\bx\s*(\d{1,4})\s*$")
-    n = F.coalesce(*(F.regexp_extract(folded, p, 1).try_cast("int") for p in ways))
-    return F.when(n.between(1, 100_000), n)
+    """Pieces in a pack up to 100000: 'N pièces' ('1 000 pièces' too) first, then 'lot de N', 'boîte N'."""
+    return let(fold(text), lambda t: F.coalesce(_count(t, _PIECES, 100_000), _count(t, _PACK, 100_000)))
 
 
 def profile_code(text) -> Column:
-    """Metal profile such as R48, M48 (M48xx too) or F45."""
-    folded = fold(text)
-    found = F.regexp_extract(folded, r"\b([rmf])\s?-?\s?(\d{2,3})(?:[-/ ]?\d{2})?\b", 1)
-    return F.when(found != "", F.upper(F.concat(found, F.regexp_extract(folded, r"\b[rmf]\s?-?\s?(\d{2,3})(?:[-/ ]?\d{2})?\b", 1))))
+    """Metal profile of the known ones: its code (M4835 is M48), else by 'rail de 48', 'montant 48', 'fourrure 45'."""
+
+    def read(t: Column) -> Column:
+        of = lambda p: F.nullif(F.regexp_replace(F.regexp_extract(t, p, 1), r"\s", ""), F.lit(""))
+        code = of(_PROFILE)
+        return F.coalesce(F.upper(F.when(code.startswith("m48"), "m48").otherwise(code)), *(F.concat(F.lit(k), of(p)) for k, p in (("R", _RAIL), ("M", _MONTANT), ("F", _FOURRURE))))
+
+    return let(fold(text), read)
+
+
+# Diameters, wall thicknesses, sections and colours of bars in folded labels.
+_DIAMETER = r"(?:[oø]\.?|diam(?:etre)?\.?)\s*(\d{1,2}(?:[.,]\d{1,2})?)\s*mm"
+_DIAMETER_LENGTH = r"(?<![\d.,])(\d{1,2}(?:[.,]\d{1,2})?)\s*mm\s+\d+(?:[.,]\d+)?\s*m\b"
+_TUBE = r"(?<![\d.,])(\d{1,2}(?:[.,]\d{1,2})?)\s*[x×*]\s*(\d{1,2}(?:[.,]\d{1,2})?)\s*mm"
+
+
+def _figure(value: Column) -> Column:
+    """A number without needless places, with a decimal comma."""
+    return F.replace(F.regexp_replace(value.cast("decimal(8,2)").cast("string"), r"\.?0+$", ""), F.lit("."), F.lit(","))
+
+
+def bar_profile(text) -> Column:
+    """'D10': the diameter of a bar from 3 to 40 mm, by 'Ø 10 mm', else by '10 mm 2 m'."""
+
+    def read(t: Column) -> Column:
+        ways = (parse_number(F.regexp_extract(t, p, 1)) for p in (_DIAMETER, _DIAMETER_LENGTH))
+        return F.concat(F.lit("D"), _figure(F.coalesce(*(F.when(d.between(3, 40), d) for d in ways))))
+
+    return let(fold(text), read)
+
+
+def tube_profile(text) -> Column:
+    """'20X1,5': outer diameter (8 to 80 mm) and wall (0.5 to 5 mm) of a tube."""
+
+    def read(t: Column) -> Column:
+        d, wall = (parse_number(F.regexp_extract(t, _TUBE, i)) for i in (1, 2))
+        return F.when(d.between(8, 80) & wall.between(0.5, 5), F.concat(_figure(d), F.lit("X"), _figure(wall)))
+
+    return let(fold(text), read)
+
+
+# Sections in mm and colours of angles in folded labels, the first that fits.
+_SECTIONS = (
+    r"(?:section|h\.?)\s*(\d{1,3}(?:[.,]\d{1,2})?)\s*[x×*]\s*(?:l\.?\s*)?(\d{1,3}(?:[.,]\d{1,2})?)\s*mm",
+    r"(?<![\d.,])(\d{1,3}(?:[.,]\d{1,2})?)\s*[x×*]\s*(\d{1,3}(?:[.,]\d{1,2})?)\s*mm",
+    r"l\.?\s*(\d{1,3})\s*mm\s*[x×*]\s*h\.?\s*(\d{1,3})\s*mm",
+)
+_COLOURS = {"gris_alu": r"gris\s+alu", "gris_titane": r"gris\s+titane", "blanc": "blanc", "noir": "noir", "gris": r"\bgris\b"}
+
+
+def angle_profile(text) -> Column:
+    """'20X30_blanc': both sides of an angle (3 to 120 mm, the smaller first) and its colour, '_ADH' if adhesive."""
+
+    def read(t: Column) -> Column:
+        def sides(p: str) -> Column:
+            a, b = (parse_number(F.regexp_extract(t, p, i)) for i in (1, 2))
+            return F.when(a.between(3, 120) & b.between(3, 120), F.concat(_figure(F.least(a, b)), F.lit("X"), _figure(F.greatest(a, b))))
+
+        colour = F.coalesce(*(F.when(t.rlike(p), c) for c, p in _COLOURS.items()))
+        return F.concat(F.coalesce(*map(sides, _SECTIONS)), F.lit("_"), colour, F.when(t.contains("adhesiv"), "_ADH").otherwise(""))
+
+    return let(fold(text), read)
 
 
 # Words of sets of unlike things, and of the small parts that are sold by number.
@@ -243,9 +351,9 @@ def parse_timestamp(text) -> Column:
 
 
 def http_url(text) -> Column:
-    """An http(s) address with a host, at most 500 characters; anything else is null."""
+    """An http(s) address with a host, at most 500 characters, blanks inside kept; anything else is null."""
     t = F.trim(_col(text))
-    return F.when(t.rlike(r"(?i)^https?://[^/\s?#]+") & (F.length(t) <= 500) & ~t.rlike(r"\s"), t)
+    return F.when(t.rlike(r"(?i)^https?://[^/?#]+") & (F.length(t) <= 500), t)
 
 
 def redact(text) -> Column:

@@ -25,14 +25,17 @@ def freshness(now: Column) -> Column:
 
 
 def latest_offers(updates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The newest price and the newest stock of each key, each with its own expiry; a price update without a price is refused."""
+    """The newest price and the newest stock of each key, each with its own expiry; a price update without a price is refused.
+
+    Of updates of the same moment the one with the greatest values stays, so that reruns agree.
+    """
     price = F.when(F.col("price_ht").isNotNull() | F.col("price_ttc").isNotNull(), F.col("price_fetched_at"))
-    newest = lambda c, t: F.max_by(F.when(t.isNotNull(), F.struct(*c)), t)
+    newest = lambda c, t: F.max(F.when(t.isNotNull(), F.struct(t.alias("at"), *c)))
     stock = F.when(F.col("stock").isNotNull(), F.col("stock_fetched_at"))
     out = updates.groupBy(*keys).agg(
         newest(["price_ht", "price_ttc", "price_expires_at"], price).alias("p"), newest(["stock", "is_salable", "is_offer_available", "stock_expires_at"], stock).alias("s")
     )
-    return out.select(*keys, "p.*", "s.*")
+    return out.select(*keys, "p.*", "s.*").drop("at")
 
 
 def refresh_plan(wanted: DataFrame, cache: DataFrame, now: Column, keys: list[str] = KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import geo, money, text, units
@@ -162,7 +162,7 @@ def t08(spark, sf):
     return table(spark, sf, "part").select("p_partkey", board["length_mm"].alias("length_mm"), board["width_mm"].alias("width_mm"), board["thickness_mm"].alias("thickness_mm"), screw["diameter_mm"].cast("double").alias("diameter_mm"), screw["length_mm"].alias("screw_mm"), bar.alias("bar_mm"))
 
 
-@query("f14_urls", r"SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/\s?#]+') AND length(trim(url)) <= 500 AND NOT regexp_matches(trim(url), '\s') THEN trim(url) END AS url FROM pages")
+@query("f14_urls", r"SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/?#]+') AND length(trim(url)) <= 500 THEN trim(url) END AS url FROM pages")
 def f14(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.http_url("url").alias("url"))
 
@@ -436,6 +436,46 @@ def e10(spark, sf):
     return resolve.extract(_labels(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+#: One label form for each category of screws, plugs and bolts.
+_FASTENERS = {
+    "BOULON": "Boulons TRCC zingués", "CHEVILLE_METAL": "Cheville métallique à expansion", "CHEVILLE_NYLON": "Cheville DuoPower", "GOUJON": "Goujon d'ancrage", "TIREFOND": "Tire-fond tête hexagonale",
+    "VIS_AGGLO": "Vis agglo tête fraisée", "VIS_BETON": "Béton : vis directe", "VIS_BOIS": "Bois : vis torx", "VIS_METAUX": "Vis mécanique", "VIS_MULTI": "Vis multi-matériaux",
+    "VIS_PLACO": "Vis plaq platre", "VIS_TERRASSE": "Vis terrasse inox", "VIS_TOLE": "Vis tôle",
+}
+#: The bars: a form, the profile and the length that it names, with %d for the size.
+_BARS = {
+    "CORNIERE_PVC": ("Cornière PVC blanche adhésive 30 x %d mm longueur 2 m", "'30X' || d || '_blanc_ADH'", 2000), "FER_BETON": ("Fer à béton Ø %d mm - L. 6 m", "'D' || d", 6000),
+    "ROND_ACIER": ("Rond acier étiré %d mm 2 m", "'D' || d", 2000), "TUBE_ROND_ACIER": ("Tube rond acier %d x 1,5 mm longueur 299 cm", "d || 'X1,5'", 3000),
+}
+
+
+def _form(forms, k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, forms)), (k % len(forms) + 1).cast("int"))
+
+
+@query("e04_fasteners", f"SELECT p_partkey AS id, {list(_FASTENERS)}[p_partkey % {len(_FASTENERS)} + 1] AS rule, (4 + p_size % 4)::DOUBLE AS diameter_mm, 20 + p_size AS length_mm FROM part")
+def e04_fasteners(spark, sf):
+    """A size out of bounds before the real one is skipped."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    labels = table(spark, sf, "part").select(k.alias("id"), F.format_string("%s 1 x 5 - %d x %d mm", _form(_FASTENERS.values(), k), 4 + s % 4, 20 + s).alias("designation"))
+    found = resolve.extract(labels)
+    return found.select("id", "rule", F.col("identity")["diameter_mm"].cast("double").alias("diameter_mm"), F.col("identity")["length_mm"].cast("int").alias("length_mm"))
+
+
+_BAR_CASES = " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(_BARS)))
+
+
+@query("e04_bars", f"""SELECT id, {list(_BARS)}[n + 1] AS rule, CASE n {_BAR_CASES.format(*(x[1] for x in _BARS.values()))} END AS profile, {[x[2] for x in _BARS.values()]}[n + 1] AS length_mm
+  FROM (SELECT p_partkey AS id, p_partkey % {len(_BARS)} AS n, (31 + p_size % 10)::INT AS d FROM part)""")
+def e04_bars(spark, sf):
+    k = F.col("p_partkey")
+    labels = table(spark, sf, "part").select(
+        k.alias("id"), F.replace(_form([x[0] for x in _BARS.values()], k), F.lit("%d"), (31 + F.col("p_size") % 10).cast("string")).alias("designation")
+    )
+    found = resolve.extract(labels)
+    return found.select("id", "rule", F.col("identity")["profile"].alias("profile"), F.col("identity")["nominal_length_mm"].cast("int").alias("length_mm"))
+
+
 @query("e09_matches", """SELECT p_partkey AS id, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 'EXACT' ELSE 'UNMAPPED' END AS status, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN (9 + p_size % 12)::BIGINT END AS product_id,
   CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 'EXACT' ELSE 'NO_PRODUCT' END AS reason FROM part WHERE p_partkey % 6 = 1""")
 def e09(spark, sf):
