@@ -50,7 +50,7 @@ def test_categories(spark):
         "Visseuse à placo 600 W": None, "Lot de 25 chevilles nylon autoforeuses avec vis L. 30 mm": None, "6 VIS BÉTON 7.5X152": "VIS_BETON", "Vis terrasse bois inox 5 x 60 mm": "VIS_BOIS",
         "Vis agglo tête fraisée 4 x 40 mm": "VIS_AGGLO", "Boulon TRCC 8 x 60 mm": "BOULON", "Vis multi-usage 4 x 30 mm": "VIS_MULTI", "Rail R48 galvanisé 3 m": "OSSATURE_RAIL", "Vis plaque de pâtre noir - 4,2 X 90 mm": "VIS_PLACO",
         "Vis métaux bardage 5 x 40": None, "Vis cadre mécanique 5x50": None, "Cheville DuoPower 8 x 40": "CHEVILLE_NYLON", "Boulons poêliers 6 x 40": "BOULON", "Boîte d'assortiment de cheville à expansion et vis DuoPower": None,
-        "Fer à béton torsadé Ø 8 mm": "FER_BETON", "Chant MDF": None, "Tube rond acier blanc": None, "": None, None: None,
+        "Fer à béton torsadé Ø 8 mm": "FER_BETON", "Chant MDF": None, "Panneau MDF 1220 x 610 x 10 mm": "PANNEAU_MDF", "Medium brut": None, "Panneau CP okoumé": "PANNEAU_CP", "Contreplaqué okoumé": None, "Panneau de particules": "PANNEAU_AGGLO", "Porte OSB": None, "Dalle OSB 3": "PANNEAU_OSB", "Tube rond acier blanc": None, "": None, None: None,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "i int, designation string")
     got = [r.rule for r in resolve.extract(df).orderBy("i").collect()]
