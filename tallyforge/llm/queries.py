@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, decontam, langid, linedup, mixing, quality, simhash, suffix, token_store, tokens
+from tallyforge.llm import ann, decontam, fim, langid, linedup, mixing, quality, repetition, resample, simhash, suffix, token_store, tokens
 from tallyforge.session import table
 
 
@@ -59,7 +59,19 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op5_line_dedup, op6_repeats, op7_quality, op8_neighbours, op9_language, op10_mix)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.report(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_simhash, op2_decontaminate, op3_token_counts, op4_token_store, op5_line_dedup, op6_repeats, op7_quality, op8_neighbours, op9_language, op10_mix, op11_resample, op12_repetition, op13_fim)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontam.ORACLE_SQL, "op10_mix": mixing.ORACLE_SQL}
+    return {"op2_decontaminate": decontam.ORACLE_SQL, "op10_mix": mixing.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
