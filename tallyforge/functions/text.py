@@ -44,14 +44,8 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 @lru_cache
 def _several() -> str:
-    """A character class, as ranges, of the signs that become several, and the Hangul syllables."""
-    codes, spans = sorted([*map(ord, _folding()[2]), *range(0xAC00, 0xD7A4)]), []
-    for c in codes:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+    """The signs that become several, and the Hangul syllables."""
+    return "".join([*_folding()[2], *map(chr, range(0xAC00, 0xD7A4))])
 
 
 def _expanded(text: Column) -> Column:
@@ -64,18 +58,20 @@ def _expanded(text: Column) -> Column:
         tail = F.when(k % 28 > 0, F.substring(jamo(0x11A8, 27), k % 28, 1)).otherwise("")
         return F.concat(F.substring(jamo(0x1100, 19), F.floor(k / 588).cast("int") + 1, 1), F.substring(jamo(0x1161, 21), F.floor(k % 588 / 28).cast("int") + 1, 1), tail)
 
-    sign = lambda c: F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).when(c.rlike(_several()), table[c]).otherwise(c)
+    sign = lambda c: F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).when(F.translate(c, _several(), "") != c, table[c]).otherwise(c)
     return F.array_join(F.transform(F.split(text, ""), sign), "")
 
 
 def fold(text) -> Column:
     """Lower case without accents and in compatibility form (NFKD); letters that don't decompose (œ, ø) stay.
 
-    Signs that become several (㎡, ﬃ, ½) are rare: only texts that hold one are taken apart.
+    ASCII texts only become lower case. Signs that become several (㎡, ﬃ, ½) are rare: only texts that hold one
+    are taken apart.
     """
     one, to, _ = _folding()
     t = _col(text)
-    return F.lower(F.translate(F.when(t.rlike(_several()), _expanded(t)).otherwise(t), one, to))
+    whole = F.when(F.translate(t, _several(), "") != t, _expanded(t)).otherwise(t)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(whole, one, to))).otherwise(F.lower(t))
 
 
 def parse_number(text) -> Column:
@@ -166,27 +162,58 @@ def diameter_length(text, d=(2, 8), l=(10, 200)) -> Column:  # noqa: E741
     return F.try_element_at(F.filter(diameter_lengths(text), lambda p: p["diameter_mm"].between(*d) & p["length_mm"].between(*l)), F.lit(1))
 
 
+# The forms of lengths, widths and thicknesses in lower-case labels without accents on e.
+_SIZE = r"(\d+(?:[.,]\d+)?)\s*(mm|cm|m)?"
+_BY = r"\s*[x*]\s*"
+_LAST = r"(\d+(?:[.,]\d+)?)(\s?\+)?\s*(mm|cm|m)?"
+_LABELLED = rf"l\.?\s*{_SIZE}\s*[x*]?\s*l\.?\s*{_SIZE}\s*[x*]?\s*(?:epaisseur|ep\.?|e\.?)\s*{_LAST}"
+_TRIPLE = rf"(?:l\.?\s*)?{_SIZE}{_BY}(?:l\.?\s*)?{_SIZE}{_BY}(?:epaisseur|ep\.?\s*|e\.?\s*)?{_LAST}"
+_PAIR_OF_SIDES = rf"(?:l\.?\s*)?{_SIZE}{_BY}(?:l\.?\s*)?{_SIZE}"
+_THICKNESS = rf"(?:epaisseur|ep\.?)\s*{_SIZE}"
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    return F.array(*(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in range(1, n + 1)))
+
+
+def _plain_label(text) -> Column:
+    return F.translate(F.lower(_col(text)), "éèê×", "eeex")
+
+
+def _sides(p: Column) -> Column:
+    """struct(length_mm, width_mm) of two numbers with units, the longer first; one unit counts for both, none means metres below 20."""
+    a, b = (to_mm(parse_number(p[i]), F.coalesce(p[i + 1], p[3 - i]), bare_small_as_meters=True) for i in (0, 2))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.greatest(a, b).alias("length_mm"), F.least(a, b).alias("width_mm")))
+
+
+def _thick(number: Column, unit: Column) -> Column:
+    n = parse_number(number)
+    return F.when(unit.isNull() & (n < 100), F.round(n, 0).cast("int")).otherwise(to_mm(n, F.coalesce(unit, F.lit("mm")), bare_small_as_meters=True))
+
+
 def dimensions(text) -> Column:
-    """struct(length_mm, width_mm, thickness_mm) from a x b x c with a unit for all, the longer side first.
+    """struct(length_mm, width_mm, thickness_mm) from 'L. a x l. b x ep. c' or 'a x b x c', the longer side first.
 
-    A small bare third number is in mm. Doubled boards such as '13 + 80' give null.
+    A unit at one of both sides counts for the other; without any, sides below 20 are metres. A bare third number
+    below 100 is in mm. Doubled boards such as '13 + 80' give null.
     """
-    pattern = rf"(?<![\d.,]){_NUMBER}\s*(mm|cm|m)?\s*[x*×]\s*{_NUMBER}\s*(mm|cm|m)?\s*[x*×]\s*(?:ep\.?\s*)?{_NUMBER}\s*(mm|cm|m)?\b(?!\s*\+)"
-
-    def measure(p: Column) -> Column:
-        unit = lambda i: F.nullif(p[i], F.lit(""))
-        shared = F.coalesce(unit(1), unit(3), unit(5), F.lit(""))
-        a, b = (to_mm(parse_number(p[i]), F.coalesce(unit(i + 1), shared), bare_small_as_meters=True) for i in (0, 2))
-        third = parse_number(p[4])
-        c = to_mm(third, F.when(unit(5).isNotNull(), unit(5)).when(third < 100, F.lit("mm")).otherwise(shared), 1, 1000)
-        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-
-    whole = lambda m: F.when(
-        m["a"].isNotNull() & m["b"].isNotNull() & m["c"].isNotNull(),
-        F.struct(F.greatest(m["a"], m["b"]).alias("length_mm"), F.least(m["a"], m["b"]).alias("width_mm"), m["c"].alias("thickness_mm")),
-    )
-    parts = let(fold(text), lambda t: F.array(*(F.regexp_extract(t, pattern, i) for i in range(1, 7))))
-    return let(let(parts, measure), whole)
+
+    def read(p: Column) -> Column:
+        thick = _thick(p[4], p[6])
+        whole = lambda s: F.when(s.isNotNull() & (thick > 0) & p[5].isNull(), F.struct(s["length_mm"], s["width_mm"], thick.alias("thickness_mm")))
+        return let(_sides(p), whole)
+
+    return let(_plain_label(text), lambda t: F.coalesce(*(let(_groups(t, p, 7), read) for p in (_LABELLED, _TRIPLE))))
+
+
+def length_width(text) -> Column:
+    """struct(length_mm, width_mm) of the first 'a x b', with or without a thickness after it."""
+    return let(_groups(_plain_label(text), _PAIR_OF_SIDES, 4), _sides)
+
+
+def thickness_alone(text) -> Column:
+    """Thickness in mm after 'ép.' or 'épaisseur'; a bare number below 100 is in mm."""
+    return let(_groups(_plain_label(text), _THICKNESS, 2), lambda p: _thick(p[0], p[1]))
 
 
 def bar_length_mm(text) -> Column:
