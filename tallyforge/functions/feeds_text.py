@@ -35,11 +35,16 @@ def pack_quantity(raw: Column) -> Column:
 
 
 def plain_value(raw: Column) -> Column:
-    """A value as text that equals compare by: whole numbers without places, others to two, text folded; blank is null."""
-    n = raw.try_cast("double")
-    number = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.round(n, 2).cast("string"))
-    said = F.trim(fold(raw))
-    return F.when(n.isNotNull(), number).when(said != "", said)
+    """A value as text that equals compare by: whole numbers without places, others to two, text folded; blank is null.
+
+    A number is digits with a point or comma and digits after it; all of up to 28 digits before it are kept exactly.
+    """
+    said = F.trim(raw)
+    n = F.when(said.rlike(r"^[+-]?\d+([.,]\d+)?$"), F.replace(said, F.lit(","), F.lit(".")).try_cast("decimal(38,10)"))
+    places = F.round(n, 2).cast("string")
+    number = F.regexp_replace(places, r"\.?0+$", "")
+    word = F.trim(fold(raw))
+    return F.when(n.isNotNull(), F.when(number.isin("-0", ""), "0").otherwise(number)).when(word != "", word)
 
 
 def name_key(name: Column) -> Column:
@@ -47,9 +52,19 @@ def name_key(name: Column) -> Column:
     return F.trim(F.translate(fold(name), "_-", "  "))
 
 
+#: A string of a JSON text, and the colon after it if it is a key.
+_JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?)'
+
+
 def has_sensitive_key(payload: Column) -> Column:
-    """Whether any key of a JSON text, at any depth, holds a name part that marks a secret."""
-    return F.lower(payload).rlike(r'"[^"]*(?:' + "|".join(SENSITIVE) + r')[^"]*"\s*:')
+    """Whether any key of a JSON text, at any depth, holds a name part that marks a secret.
+
+    The text is written anew from its parsed form, so that escapes are resolved, and taken apart into strings from
+    its beginning: a quote inside a value opens none. A text that is no JSON is taken as it stands.
+    """
+    plain = F.coalesce(F.to_json(F.try_parse_json(payload)), payload)
+    secret = "(?i)(?:" + "|".join(SENSITIVE) + ")"
+    return F.exists(F.regexp_extract_all(plain, F.lit(_JSON_STRING), F.lit(1)), lambda k: k.endswith(":") & k.rlike(secret))
 
 
 def line_token(project: Column, line: Column, place: Column) -> Column:

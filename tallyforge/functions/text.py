@@ -350,6 +350,12 @@ def identity_code(prefix: str, identity, digits: int = 8) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha1(_col(identity)), 1, digits)))
 
 
+def own_key(label, reference) -> Column:
+    """What a thing without any other identity goes by: its label, folded and squeezed, or its reference."""
+    squeezed = F.trim(F.regexp_replace(fold(F.coalesce(_col(label), F.lit(""))), r"\s+", " "))
+    return F.when(squeezed != "", squeezed).otherwise(F.concat(F.lit("sku:"), _col(reference)))
+
+
 def strip_html(html) -> Column:
     """Text of a piece of HTML: line breaks kept, tags dropped, blanks squeezed, empty lines removed."""
     text = F.regexp_replace(_col(html), r"(?i)<br\s*/?>", "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.feeds_text import name_key, plain_value
-from tallyforge.functions.text import contains_any, fold
+from tallyforge.functions.text import contains_any, fold, own_key
 from tallyforge.functions.units import normalize_unit
 
 
@@ -109,8 +109,7 @@ def specific_products(supplier_products: DataFrame, prefix: str) -> DataFrame:
     Labels are equal if they are when folded and squeezed; one without a label goes by its reference. The
     name is the longest label, the greatest of them in case of a tie; the code a hash of the key.
     """
-    label = F.trim(F.regexp_replace(fold(F.coalesce("designation", F.lit(""))), r"\s+", " "))
-    key = F.when(label != "", label).otherwise(F.concat(F.lit("sku:"), F.coalesce("supplier_reference", F.col("sp_id").cast("string"))))
+    key = own_key("designation", F.coalesce("supplier_reference", F.col("sp_id").cast("string")))
     rows = supplier_products.where("product_id is null").withColumn("designation_key", key)
     named = rows.groupBy("designation_key").agg(F.max_by("designation", F.struct(F.length("designation"), "designation")).alias("name"), F.count("*").alias("references"))
     return named.select(F.concat(F.lit(prefix), F.upper(F.substring(F.sha1("designation_key"), 1, 16))).alias("code"), "designation_key", "name", "references")

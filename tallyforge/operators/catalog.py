@@ -116,21 +116,3 @@ def unique_ean_matches(supplier_products: DataFrame, owners: DataFrame) -> DataF
     """Matches by bar code, for codes that a single product owns. ``owners``: ean, product_id."""
     unique = owners.where("ean is not null").groupBy("ean").agg(F.countDistinct("product_id").alias("n"), F.min("product_id").alias("found_id")).where("n = 1")
     return supplier_products.join(unique.select("ean", "found_id"), "ean")
-
-
-def nearest_stores(points: DataFrame, stores: DataFrame, k: int, most_stores: int = 10_000) -> DataFrame:
-    """The k nearest stores of every point by great-circle distance, ties by id.
-
-    Stores are a dimension: they are checked to be ``most_stores`` at most, and reach every task as one row
-    that holds them as an array; each point keeps only its k nearest of them.
-    """
-    from tallyforge.functions.geo import haversine_km
-
-    placed = stores.where("latitude is not null and longitude is not null").select("agency_id", "latitude", "longitude")
-    if placed.count() > most_stores:
-        raise ValueError(f"more than {most_stores} stores")
-    held = placed.agg(F.collect_list(F.struct("agency_id", "latitude", "longitude")).alias("stores"))
-    d = lambda s: haversine_km(F.col("p_lat"), F.col("p_lon"), s["latitude"], s["longitude"])
-    near = F.slice(F.array_sort(F.transform("stores", lambda s: F.struct(d(s).alias("distance_km"), s["agency_id"].alias("agency_id")))), 1, k)
-    rows = points.crossJoin(F.broadcast(held)).select("point_id", F.posexplode(near).alias("pos", "s"))
-    return rows.select("point_id", "s.agency_id", (F.col("pos") + 1).alias("rank"), "s.distance_km")

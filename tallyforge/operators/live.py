@@ -9,9 +9,10 @@ KEYS = ["connector", "store", "supplier_reference"]
 
 
 def freshness(now: Column) -> Column:
-    """missing, fresh, price_fresh_stock_stale, stock_fresh_price_stale or stale.
+    """missing, fresh, price_fresh_stock_stale, stock_fresh_price_stale, stock_only or stale.
 
-    A remembered "not available" without a price is a whole answer while its stock clock runs.
+    A remembered "not available" without a price is a whole answer while its stock clock runs; any other stock without a
+    price is stock_only.
     """
     price = F.col("price_ht").isNotNull() | F.col("price_ttc").isNotNull()
     negative = ~price & F.coalesce((F.col("stock") == 0) | ~F.col("is_salable") | ~F.col("is_offer_available"), F.lit(False))
@@ -20,7 +21,7 @@ def freshness(now: Column) -> Column:
     data = price | F.col("stock").isNotNull() | F.col("is_salable").isNotNull() | F.col("is_offer_available").isNotNull()
     return (
         F.when(~data, "missing").when(negative & fresh_stock, "fresh").when(fresh_price & fresh_stock, "fresh")
-        .when(fresh_price, "price_fresh_stock_stale").when(fresh_stock, "stock_fresh_price_stale").otherwise("stale")
+        .when(fresh_price, "price_fresh_stock_stale").when(fresh_stock & ~price, "stock_only").when(fresh_stock, "stock_fresh_price_stale").otherwise("stale")
     )
 
 

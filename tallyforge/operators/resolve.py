@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import angle_profile, bar_length_mm, bar_profile, diameter_lengths, dimensions, fold, profile_code, tube_profile, weight_g
+from tallyforge.functions.text import angle_profile, bar_length_mm, bar_profile, diameter_lengths, dimensions, ean, fold, identity_code, own_key, profile_code, tube_profile, weight_g
 
 #: Nominal lengths of profiles that stand for another; others stay as they are.
 NOMINAL_LENGTHS = {2490: 2500, 2990: 3000}
@@ -16,19 +16,25 @@ STATUS_ORDER = ("EXACT", "HIGH", "REVIEW", "UNMAPPED")
 
 @dataclass(frozen=True)
 class IdentityModel:
-    """Which keys make an identity, which of them are dimensions, and what happens when it isn't whole."""
+    """Which keys make an identity, and what counts when not all of them agree: dimensions, or a hierarchy of keys.
+
+    ``flags`` must not differ where both sides know them; ``secondary`` tell products with one identity apart.
+    """
 
     name: str
     keys: tuple[str, ...]
     dims: tuple[str, ...] = ()
     type_key: str | None = None
     hierarchy: tuple[str, ...] = ()
+    flags: tuple[str, ...] = ()
+    secondary: tuple[str, ...] = ()
 
 
-FASTENER = IdentityModel("DIMENSIONAL_FASTENER", ("type", "diameter_mm", "length_mm"), ("diameter_mm", "length_mm"), "type")
-BOARD = IdentityModel("BOARD_PANEL", ("type", "length_mm", "width_mm", "thickness_mm"), ("length_mm", "width_mm", "thickness_mm"), "type")
-PROFILE = IdentityModel("LINEAR_PROFILE", ("kind", "profile", "nominal_length_mm"), (), None, ("kind", "profile"))
-BAGGED = IdentityModel("BAGGED_PRODUCT", ("type", "weight_kg"), ("weight_kg",), "type")
+FASTENER = IdentityModel("DIMENSIONAL_FASTENER", ("type", "diameter_mm", "length_mm"), hierarchy=("type", "diameter_mm"), secondary=("head", "drive", "finish", "material"))
+_FLAGS = ("hydrofuge", "fire_resistant", "acoustic")
+BOARD = IdentityModel("BOARD_PANEL", ("length_mm", "width_mm", "thickness_mm", "type"), ("length_mm", "width_mm", "thickness_mm"), "type", flags=_FLAGS, secondary=_FLAGS)
+PROFILE = IdentityModel("LINEAR_PROFILE", ("kind", "profile", "nominal_length_mm"), hierarchy=("kind", "profile"), secondary=("material",))
+BAGGED = IdentityModel("BAGGED_PRODUCT", ("type", "weight_kg"), hierarchy=("type",), secondary=("usage",))
 
 
 @dataclass(frozen=True)
@@ -132,6 +138,26 @@ RULES = (
 )
 
 
+# Attributes besides the identity in folded labels, the first that fits; and what a board may withstand.
+_HEADS = {"fraisee": "frais", "plate": r"\bplates?\b", "turbo": r"\bturbo\b", "hex": r"\bhex(?:agonale?s?)?\b"}
+_DRIVES = {"pozidriv": "pozidriv|posidriv", "philips": "philips", "torx": r"\btorx\b|\btx\b"}
+_FINISHES = {"zingue": "zingue", "jaune": r"\bjaune\b", "inox": r"\binox\b"}
+_WITHSTANDS = {"hydrofuge": "hydro", "fire_resistant": "coupe[- ]feu|anti[- ]feu|resist[a-z]* au feu", "acoustic": "phoni|acoust"}
+
+
+def attributes(folded: Column) -> Column:
+    """map<string,string> of what a folded label says besides its identity: head, drive, finish and what it withstands; nothing is inferred from silence."""
+    first = lambda forms: F.coalesce(*(F.when(folded.rlike(p), F.lit(k)) for k, p in forms.items()))
+    told = {"head": first(_HEADS), "drive": first(_DRIVES), "finish": first(_FINISHES), **{k: F.when(folded.rlike(p), F.lit("true")) for k, p in _WITHSTANDS.items()}}
+    return F.map_filter(F.create_map(*(x for k, c in told.items() for x in (F.lit(k), c))), lambda k, v: v.isNotNull())
+
+
+def _read(ruled: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """``ruled`` with identity; only labels that a rule applies to are read."""
+    read = {k: F.when(F.col("rule").isNotNull(), c) for k, c in _measures(F.col(text_col)).items()}
+    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop(*read)
+
+
 def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
     """Rows with ``rule`` and ``identity``: the first rule, in the order of codes, that applies to the label.
 
@@ -140,54 +166,82 @@ def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "d
     rule = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: r.code, reverse=True):
         rule = F.when(r.applies(F.col("__folded")), r.code).otherwise(rule)
-    ruled = rows.withColumn("__folded", fold(text_col)).withColumn("rule", rule)
-    # Only labels that a rule applies to are read.
-    read = {k: F.when(F.col("rule").isNotNull(), c) for k, c in _measures(F.col(text_col)).items()}
-    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop("__folded", *read)
+    return _read(rows.withColumn("__folded", fold(text_col)).withColumn("rule", rule), rules, text_col).drop("__folded")
+
+
+def claims(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
+    """A row for each rule that applies to a label, with rule, identity and attributes; labels without a rule are left out."""
+    codes = F.array_compact(F.array(*(F.when(r.applies(F.col("__folded")), F.lit(r.code)) for r in sorted(rules, key=lambda r: r.code))))
+    told = rows.withColumn("__folded", fold(text_col))
+    told = told.withColumn("attributes", attributes(F.col("__folded"))).withColumn("rule", F.explode(codes)).drop("__folded")
+    return _read(told, rules, text_col)
+
+
+def by_rule(rules: tuple[Rule, ...], value) -> Column:
+    """The list that ``value`` gives for the rule of a row."""
+    return F.create_map(*(x for r in rules for x in (F.lit(r.code), F.array(*map(F.lit, value(r))).cast("array<string>"))))[F.col("rule")]
 
 
-def match(rows: DataFrame, products: DataFrame, rule: Rule) -> DataFrame:
-    """(id, status, product_id, score, reason) of each row of one rule. ``products``: product_id and the identity as a map.
+def _joined(source: str, keys: Column) -> Column:
+    """The values of ``keys``, or null if one of them is unknown or there are no keys."""
+    values = F.transform(keys, lambda k: F.col(source)[k])
+    return F.when((F.size(keys) > 0) & F.forall(values, lambda v: v.isNotNull()), F.array_join(values, "|"))
 
-    EXACT: all keys known and equal. With all dimensions equal: HIGH if the type is as well, not mapped if both
-    are known and differ, else REVIEW. In a hierarchy: REVIEW on the first key, with the product if the second
-    agrees as well, unless the last differs. Several best EXACT or HIGH products are ambiguous. Candidates
-    meet by keys: by the dimensions, or the first key of the hierarchy.
+
+def match(rows: DataFrame, products: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, rule, status, product_id, score, reason) of each row (id, rule, identity and, if there, attributes) of the rules, all at once.
+
+    ``products``: product_id, rule, identity and attributes as maps. EXACT: all keys known and equal. Boards with equal
+    dimensions but not the same identity: HIGH if the type is equal, REVIEW if a side doesn't know it, else none; and if
+    they differ in a flag that both know, REVIEW at most. Hierarchies: REVIEW of a product that agrees in their first two
+    keys and doesn't know the last one. Several EXACT or HIGH products are ambiguous and only proposed. Without the
+    dimensions, or the whole identity in a hierarchy, data are insufficient. Products are counted by all that decides
+    before they are joined, so that a hot identity is a row, and rows meet only products with an equal key.
     """
-    m = rule.model
-    e, p = (lambda k: F.col("identity")[k]), (lambda k: F.col("target")[k])
-    meet = m.dims or m.hierarchy[:1]
-    key = lambda src: F.concat_ws("|", *(src(k) for k in meet))
-    known = lambda src, ks: F.forall(F.array(*(src(k) for k in ks)), lambda x: x.isNotNull())
-    enough = known(e, m.dims) if m.dims else known(e, m.keys)
-    left = rows.where(F.col("rule") == rule.code).select("id", "identity").withColumn("enough", enough).withColumn("key", F.when(known(e, meet), key(e)))
-    right = products.select("product_id", F.col("identity").alias("target")).where(known(p, meet)).withColumn("key", key(p))
-    pairs = left.where("enough").join(right, "key")
-    exact = F.lit(True)
-    for k in m.keys:
-        exact = exact & F.coalesce(e(k) == p(k), F.lit(False))
-    if m.dims:
-        both = e(m.type_key).isNotNull() & p(m.type_key).isNotNull()
-        high = F.when(both & (e(m.type_key) == p(m.type_key)), 1).when(both, 3).otherwise(2)
-        status, own = F.when(exact, 0).otherwise(high), F.col("product_id")
-        score = F.element_at(F.array(*(F.lit(x) for x in (1.0, 0.85, 0.55, 0.0))), status + 1)
-    else:
-        head = F.coalesce(F.array(*(e(k) for k in m.hierarchy)) == F.array(*(p(k) for k in m.hierarchy)), F.lit(False))
-        last = m.keys[-1]
-        status = F.when(exact, 0).when(head & F.coalesce(e(last) != p(last), F.lit(False)), 3).otherwise(2)
-        own = F.when(exact | F.coalesce(e(m.hierarchy[1]) == p(m.hierarchy[1]), F.lit(False)), F.col("product_id"))
-        score = F.element_at(F.array(*(F.lit(x) for x in (1.0, 0.0, 0.3, 0.0))), status + 1)
-    scored = pairs.select("id", "identity", status.alias("s"), own.alias("product_id"), score.alias("score"))
-    best = scored.groupBy("id").agg(F.min(F.struct("s", (-F.col("score")).alias("minus"), F.coalesce("product_id", F.lit(1 << 62)).alias("pid"), "product_id")).alias("b"), F.count_if((F.col("s") == 0) & F.col("product_id").isNotNull()).alias("n0"), F.count_if((F.col("s") == 1) & F.col("product_id").isNotNull()).alias("n1"))
-    out = left.join(best, "id", "left")
-    b = F.col("b")
-    several = ((b["s"] == 0) & (F.col("n0") > 1)) | ((b["s"] == 1) & (F.col("n1") > 1))
-    lost = b.isNull() | (b["s"] == 3) | b["product_id"].isNull()
-    whole = known(e, m.keys)
+    empty = F.create_map().cast("map<string,string>")
+    rows = rows if "attributes" in rows.columns else rows.withColumn("attributes", empty)
+    products = products if "attributes" in products.columns else products.withColumn("attributes", empty)
+    codes = [r.code for r in rules]
+    keys, dims, flags = (by_rule(rules, lambda r, k=k: getattr(r.model, k)) for k in ("keys", "dims", "flags"))
+    head = by_rule(rules, lambda r: r.model.hierarchy[:2])
+    kind = by_rule(rules, lambda r: (r.model.type_key,) if r.model.type_key else ())
+    flat = F.size(dims) > 0
+    tag = lambda name, c: F.concat(F.lit(name + "|"), c)
+
+    def told(df: DataFrame, name: str) -> DataFrame:
+        known = F.map_filter("attributes", lambda k, v: F.array_contains(flags, k))
+        return df.where(F.col("rule").isin(codes)).withColumns({
+            "whole": _joined(name, keys), "dims": _joined(name, dims), "head": _joined(name, head), "type": _joined(name, kind), "flags": F.array_sort(F.map_entries(known)), "flat": flat,
+        })
+
+    left = told(rows, "identity").withColumn("enough", F.when(F.col("flat"), F.col("dims").isNotNull()).otherwise(F.col("whole").isNotNull()))
+    left = left.select("id", "rule", "enough", "whole", "type", "flags", F.when(F.col("enough"), F.when(F.col("flat"), F.array(tag("d", F.col("dims")))).otherwise(F.array(tag("x", F.col("whole")), tag("h", F.col("head"))))).alias("meet"))
+    right = told(products, "identity")
+    meet = F.when(F.col("flat"), tag("d", F.col("dims"))).when(F.col("whole").isNotNull(), tag("x", F.col("whole"))).when(_joined("identity", keys).isNull(), tag("h", F.col("head")))
+    right = right.select("rule", meet.alias("meet"), F.col("whole").alias("p_whole"), F.col("type").alias("p_type"), F.col("flags").alias("p_flags"), "product_id").where("meet IS NOT NULL")
+    right = right.groupBy("rule", "meet", "p_whole", "p_type", "p_flags").agg(F.min("product_id").alias("product_id"), F.countDistinct("product_id").alias("n"))
+    # Equal rows, and rows that agree in all that decides, are judged once each by their own id.
+    pairs = left.select("id", "rule", "whole", "type", "flags", F.explode("meet").alias("meet")).join(right, ["rule", "meet"])
+    conflict = F.exists("flags", lambda a: F.exists("p_flags", lambda b: (a["key"] == b["key"]) & (a["value"] != b["value"])))
+    same, both = F.col("whole") == F.col("p_whole"), F.col("type").isNotNull() & F.col("p_type").isNotNull()
+    d = F.startswith("meet", F.lit("d|"))
+    judged = lambda s, x: F.struct(F.lit(s).alias("s"), F.lit(x).alias("score"))
+    judge = (
+        F.when(conflict & d, judged(2, 0.2)).when(conflict, judged(3, 0.0)).when(F.coalesce(same, F.lit(False)), judged(0, 1.0)).when(d & both & (F.col("type") == F.col("p_type")), judged(1, 0.85))
+        .when(d & both, judged(3, 0.0)).when(d, judged(2, 0.55)).otherwise(judged(2, 0.3))
+    )
+    scored = pairs.select("id", "rule", judge.alias("j"), "product_id", "n").where("j.s < 3")
+    best = scored.groupBy("id", "rule").agg(
+        F.min(F.struct("j.s", (-F.col("j.score")).alias("minus"), "product_id")).alias("b"), F.sum(F.when(F.col("j.s") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("j.s") == 1, F.col("n"))).alias("n1")
+    )
+    out = left.join(best.withColumnRenamed("id", "__id").withColumnRenamed("rule", "__rule"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("rule") == F.col("__rule")), "left")
+    s, names = F.col("b.s"), F.array(*map(F.lit, STATUS_ORDER))
+    several = F.coalesce(((s == 0) & (F.col("n0") > 1)) | ((s == 1) & (F.col("n1") > 1)), F.lit(False))
+    lost = s.isNull()
     return out.select(
-        "id", F.when(lost, "UNMAPPED").when(several, "REVIEW").otherwise(F.element_at(F.array(*map(F.lit, STATUS_ORDER)), b["s"] + 1)).alias("status"),
-        F.when(~lost, b["product_id"]).alias("product_id"), F.when(lost, 0.0).when(several, F.round(-b["minus"] * 0.7, 4)).otherwise(-b["minus"]).alias("score"),
-        F.when(~F.col("enough"), "INSUFFICIENT_DATA").when(lost & whole, "NO_PRODUCT").when(lost, "INSUFFICIENT_DATA").when(several, "AMBIGUOUS").otherwise(F.element_at(F.array(*map(F.lit, STATUS_ORDER)), b["s"] + 1)).alias("reason"),
+        "id", "rule", F.when(lost, "UNMAPPED").when(several, "REVIEW").otherwise(F.element_at(names, s + 1)).alias("status"), F.col("b.product_id").alias("product_id"),
+        F.when(lost, 0.0).when(several, F.round(-F.col("b.minus") * 0.7, 4)).otherwise(-F.col("b.minus")).alias("score"),
+        F.when(~F.col("enough"), "INSUFFICIENT_DATA").when(lost & F.col("whole").isNotNull(), "NO_PRODUCT").when(lost, "INSUFFICIENT_DATA").when(several, "AMBIGUOUS").otherwise(F.element_at(names, s + 1)).alias("reason"),
     )
 
 
@@ -196,6 +250,38 @@ def unanimous(claims: DataFrame) -> DataFrame:
     return claims.where("product_id is not null").groupBy("id").agg(F.min("product_id").alias("product_id"), F.countDistinct("product_id").alias("n")).where("n = 1").drop("n")
 
 
+def arbitrate(matches: DataFrame) -> DataFrame:
+    """(id, rule, product_id, outcome) of each row that any rule applies to, from its matches by all of them.
+
+    EXACT if all rules that match it exactly name one product; RULES_DISAGREE if they name several. Otherwise the best
+    outcome of its rules, by status, then score, then code: HIGH, REVIEW, AMBIGUOUS, NO_PRODUCT or INSUFFICIENT_DATA.
+    """
+    exact = (F.col("status") == "EXACT") & (F.col("reason") == "EXACT")
+    order = F.array_position(F.array(*map(F.lit, ("EXACT", "HIGH", "REVIEW", "AMBIGUOUS", "NO_PRODUCT", "INSUFFICIENT_DATA"))), F.col("reason"))
+    best = matches.groupBy("id").agg(
+        F.min(F.struct(order.alias("o"), (-F.col("score")).alias("minus"), "rule", "product_id", "reason")).alias("b"), F.min(F.when(exact, F.col("product_id"))).alias("low"), F.max(F.when(exact, F.col("product_id"))).alias("high")
+    )
+    split = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    return best.select("id", "b.rule", F.when(~split, F.col("b.product_id")).alias("product_id"), F.when(split, "RULES_DISAGREE").otherwise(F.col("b.reason")).alias("outcome"))
+
+
+def map_in_order(references: DataFrame, owners: DataFrame, arbitrated: DataFrame, prefix: str = "SPC-") -> DataFrame:
+    """(sp_id, product_id, code, source) of all references (sp_id, product_id, ean, designation, supplier_reference), in stages that see only what is left.
+
+    A mapping that is there is kept. Then a bar code that one product owns (``owners``: ean, product_id); then what
+    ``arbitrate`` found EXACT; the rest gets a product of its own, by a code from its label, shared by equal labels.
+    """
+    ids = references.select("sp_id").where("sp_id IS NOT NULL")
+    held = ean(F.col("ean"))
+    unique = owners.select(ean(F.col("ean")).alias("__ean"), "product_id").where("__ean IS NOT NULL AND product_id IS NOT NULL").groupBy("__ean").agg(F.min("product_id").alias("by_ean"), F.max("product_id").alias("__most")).where("by_ean = __most").drop("__most")
+    exact = arbitrated.where("outcome = 'EXACT'").select(F.col("id").alias("sp_id"), F.col("product_id").alias("by_rule")).join(ids.distinct(), "sp_id", "left_semi")
+    out = references.withColumn("__ean", F.when(F.col("product_id").isNull(), held)).join(unique, "__ean", "left").join(exact, "sp_id", "left")
+    own = own_key(F.col("designation"), F.coalesce("supplier_reference", F.col("sp_id").cast("string")))
+    source = F.when(F.col("product_id").isNotNull(), "kept").when(F.col("by_ean").isNotNull(), "ean").when(F.col("by_rule").isNotNull(), "exact_rule").otherwise("specific")
+    code = F.when(F.coalesce("product_id", "by_ean", "by_rule").isNull(), identity_code(prefix, own, 16))
+    return out.select("sp_id", F.coalesce("product_id", "by_ean", "by_rule").alias("product_id"), code.alias("code"), source.alias("source"))
+
+
 def apply_exact(references: DataFrame, matches: DataFrame) -> DataFrame:
     """References with EXACT matches taken over where there was no mapping; all other rows stay as they are."""
     found = matches.where("status = 'EXACT'").select("id", F.col("product_id").alias("__found"))

@@ -41,12 +41,12 @@ def w14(spark, sf):
     return admin.create_products(asked, bind.products(spark, sf), ("pièce", "m", "m²", "kg")).select("request_no", "code", "outcome")
 
 
-@query("w14_change_units", f"""{WITH}, u AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0)
+@query("w14_change_units", f"""{WITH}, u AS (SELECT DISTINCT l_partkey FROM lineitem)
   SELECT product_id, CASE WHEN reference_unit = 'kg' THEN 'same' WHEN product_id IN (SELECT l_partkey FROM u) THEN 'in_use' ELSE 'changed' END AS outcome,
     CASE WHEN product_id IN (SELECT l_partkey FROM u) THEN reference_unit ELSE 'kg' END AS reference_unit FROM products""")
 def w14_units(spark, sf):
     products = bind.products(spark, sf)
-    used = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("product_id"))
+    used = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("product_id"))
     return admin.change_units(products, products.select("product_id", F.lit("Kilo").alias("unit")), used)
 
 
@@ -85,10 +85,9 @@ def a34_unmapped(spark, sf):
     return admin.search_references(bind.supplier_products(spark, sf), bind.suppliers(spark, sf), bind.products(spark, sf))
 
 
-@query("a36_product_usage", f"{WITH} SELECT product_id, count(DISTINCT l_orderkey) AS projects, count(l_orderkey) = 0 AS unit_editable FROM products LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0) ON l_partkey = product_id GROUP BY 1")
+@query("a36_product_usage", f"{WITH} SELECT product_id, count(DISTINCT l_orderkey) AS projects, count(l_orderkey) = 0 AS unit_editable FROM products LEFT JOIN lineitem ON l_partkey = product_id GROUP BY 1")
 def a36(spark, sf):
-    """One order in fifty stands for a saved project."""
-    saved = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("product_id"))
+    saved = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("product_id"))
     return admin.product_usage(bind.products(spark, sf), saved)
 
 
@@ -137,10 +136,13 @@ def t34(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (feeds_text.pack_quantity(raw) * 1000).cast("bigint").alias("thousandths"))
 
 
-@query("t25_plain_values", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.25' WHEN 2 THEN 'beton gris' END AS value FROM part""")
+@query("t25_plain_values", """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.25' WHEN 2 THEN 'beton gris' WHEN 3 THEN p_size || 'd' WHEN 4 THEN '1234567890123456' || (1000 + p_size) WHEN 5 THEN '-' || p_size || '.5' END AS value FROM part""")
 def t25(spark, sf):
-    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    raw = F.when(k == 0, F.concat(n, F.lit(".00"))).when(k == 1, F.concat(n, F.lit(".251"))).when(k == 2, " Béton GRIS ").otherwise(" ")
+    k, n = F.col("p_partkey") % 7, F.col("p_size").cast("string")
+    forms = (F.concat(n, F.lit(".00")), F.concat(n, F.lit(".251")), F.lit(" Béton GRIS "), F.concat(n, F.lit("D")), F.concat(F.lit("1234567890123456"), (1000 + F.col("p_size")).cast("string")), F.concat(F.lit("-"), n, F.lit(",50")))
+    raw = F.lit(" ")
+    for i, form in enumerate(forms):
+        raw = F.when(k == i, form).otherwise(raw)
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), feeds_text.plain_value(raw).alias("value"))
 
 
@@ -158,10 +160,12 @@ def f12(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), feeds_text.unit_mismatch(name, pick(map(F.lit, ("M", " m² ", "piece", "ml")), F.col("p_size") % 4)).alias("mismatch"))
 
 
-@query("f15_sensitive_keys", "SELECT event_id, event_id % 3 = 0 AS sensitive FROM events")
+@query("f15_sensitive_keys", "SELECT event_id, event_id % 5 IN (0, 1, 4) AS sensitive FROM events")
 def f15(spark, sf):
-    payload = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": [{"X-Access_Token" : 1}], "b": '), "props", F.lit("}"))).otherwise(F.concat(F.lit('{"note": "a secret", "b": '), "props", F.lit("}")))
-    return table(spark, sf, "events").select("event_id", feeds_text.has_sensitive_key(payload).alias("sensitive"))
+    """A key, a key with an escape, values that look like keys, and a text that is no JSON."""
+    k = F.col("event_id") % 5
+    head = F.when(k == 0, '{"a": [{"X-Access_Token" : 1}], "b": ').when(k == 1, '{"a": {"pass\\u0077ord": null}, "b": ').when(k == 2, '{"note": "a secret", "b": ').when(k == 3, '{"note": "say \\"password\\": x", "b": ').otherwise('{"Cookie": oops, "b": ')
+    return table(spark, sf, "events").select("event_id", feeds_text.has_sensitive_key(F.concat(head, "props", F.lit("}"))).alias("sensitive"))
 
 
 @query("f04_family_selector", f"{WITH} SELECT product_id FROM products WHERE code LIKE 'PRD0001%' OR code LIKE 'PRD00007%' OR brand IN ('Brand#11', 'Brand#3')")

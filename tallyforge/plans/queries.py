@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import geo, money, text, units
-from tallyforge.operators import catalog, compare, discover, live, offers as offer_ops, optimize, projects, resolve, upsert
+from tallyforge.operators import catalog, compare, discover, live, nearest, offers as offer_ops, optimize, projects, resolve, upsert
 from tallyforge.operators.components import connected_components
 from tallyforge.session import table, written
 from tallyforge.sources import bind, demo, feeds
@@ -93,7 +93,7 @@ def g02(spark, sf):
 def g08(spark, sf):
     k = F.col("c_custkey")
     points = table(spark, sf, "customer").select(k.alias("point_id"), (41 + k * 71 % 1000 / 100).alias("p_lat"), (-4 + k * 29 % 1200 / 100).alias("p_lon"))
-    return catalog.nearest_stores(points, bind.agencies(spark, sf), 3).withColumn("distance_km", F.round("distance_km", 6))
+    return nearest.nearest_places(points, bind.agencies(spark, sf), 3).withColumn("distance_km", F.round("distance_km", 6))
 
 
 # Text
@@ -476,22 +476,6 @@ def e04_bars(spark, sf):
     return found.select("id", "rule", F.col("identity")["profile"].alias("profile"), F.col("identity")["nominal_length_mm"].cast("int").alias("length_mm"))
 
 
-@query("e09_matches", """SELECT p_partkey AS id, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 'EXACT' ELSE 'UNMAPPED' END AS status, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN (9 + p_size % 12)::BIGINT END AS product_id,
-  CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN 9 + p_size % 12 BETWEEN 9 AND 14 THEN 'EXACT' ELSE 'NO_PRODUCT' END AS reason FROM part WHERE p_partkey % 6 = 1""")
-def e09(spark, sf):
-    rule = next(r for r in resolve.RULES if r.code == "PANNEAU_OSB")
-    ids = F.create_map(F.lit("type"), F.lit("osb"), F.lit("length_mm"), F.lit("2500"), F.lit("width_mm"), F.lit("1250"), F.lit("thickness_mm"), F.col("id").cast("string"))
-    products = spark.range(9, 15).select(F.col("id").alias("product_id"), ids.alias("identity"))
-    return resolve.match(_features(spark, sf), products, rule)
-
-
-@query("a24_product_seeds", """SELECT max(name) AS name, count(*) AS "references" FROM (SELECT 'Panneau OSB 3 2500 x 1250 x ' || (9 + p_size % 12) || ' mm' AS name FROM part WHERE p_partkey % 6 = 1) GROUP BY name""")
-def a24(spark, sf):
-    rows = _features(spark, sf).where("rule = 'PANNEAU_OSB'")
-    none = spark.createDataFrame([], "identity_key string")
-    return resolve.product_seeds(rows, none, "PRD-").select("name", "references")
-
-
 @query("a30_catalog_hash", f"""{WITH_SP}, p AS (SELECT sp_id // 100000 AS k, sha256(string_agg(sp_id || ':' || coalesce(product_id::VARCHAR, 'None'), chr(10) ORDER BY sp_id)) AS h FROM supplier_products GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY k)) AS hash FROM p""")
 def a30(spark, sf):
     return discover.catalog_hash(bind.supplier_products(spark, sf), "sp_id", "product_id")
@@ -533,28 +517,24 @@ def _updates(spark, sf) -> DataFrame:
     )
 
 
-@query("l03_freshness", """WITH u AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 1 END AS price, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 END AS stock FROM events),
-  c AS (SELECT user_id, event_type, max(ts) FILTER (price IS NOT NULL) + INTERVAL 2 DAY AS pe, max(ts) FILTER (stock IS NOT NULL) + INTERVAL 6 HOUR AS se FROM u GROUP BY 1, 2),
-  s AS (SELECT c.*, pe IS NOT NULL AND pe > TIMESTAMP '2024-01-29 00:00:00' AS pf, se IS NOT NULL AND se > TIMESTAMP '2024-01-29 00:00:00' AS sf FROM c)
-  SELECT user_id::VARCHAR AS store, event_type AS supplier_reference, CASE WHEN pe IS NULL AND se IS NULL THEN 'missing' WHEN pf AND sf THEN 'fresh' WHEN pf THEN 'price_fresh_stock_stale' WHEN sf THEN CASE WHEN pe IS NULL THEN 'stock_only' ELSE 'stock_fresh_price_stale' END ELSE 'stale' END AS freshness FROM s""")
+_CACHE = """WITH u AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 1 END AS price, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 END AS stock FROM events),
+  c AS (SELECT user_id, event_type, max(ts) FILTER (price IS NOT NULL) + INTERVAL 2 DAY AS pe, max(ts) FILTER (stock IS NOT NULL) + INTERVAL 6 HOUR AS se, (max({'t': ts, 's': stock}) FILTER (stock IS NOT NULL)).s AS st FROM u WHERE %s GROUP BY 1, 2),
+  w AS (SELECT DISTINCT user_id, event_type FROM events),
+  s AS (SELECT w.*, pe, st, pe IS NOT NULL AND pe > TIMESTAMP '2024-01-29 00:00:00' AS pf, se IS NOT NULL AND se > TIMESTAMP '2024-01-29 00:00:00' AS sf, pe IS NULL AND se IS NULL AS none FROM w LEFT JOIN c USING (user_id, event_type)),
+  f AS (SELECT user_id::VARCHAR AS store, event_type AS supplier_reference, CASE WHEN none THEN 'missing' WHEN sf AND (pf OR pe IS NULL AND st = 0) THEN 'fresh' WHEN pf THEN 'price_fresh_stock_stale' WHEN sf AND pe IS NULL THEN 'stock_only' WHEN sf THEN 'stock_fresh_price_stale' ELSE 'stale' END AS freshness FROM s)"""
+_NOW = "timestamp_ntz '2024-01-29 00:00:00'"
+
+
+@query("l03_freshness", _CACHE.replace("%s", "true") + " SELECT store, supplier_reference, freshness FROM f")
 def l03(spark, sf):
-    cache = live.latest_offers(_updates(spark, sf))
-    state = live.freshness(F.expr("timestamp_ntz '2024-01-29 00:00:00'"))
-    only = F.when((state == "stock_fresh_price_stale") & F.col("price_ht").isNull(), "stock_only").when((state == "fresh") & F.col("price_ht").isNull(), "stock_only").otherwise(state)
-    return cache.select("store", "supplier_reference", only.alias("freshness"))
+    return live.latest_offers(_updates(spark, sf)).select("store", "supplier_reference", live.freshness(F.expr(_NOW)).alias("freshness"))
 
 
-@query("l04_refresh_plan", """WITH u AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 1 END AS price, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 END AS stock FROM events),
-  c AS (SELECT user_id, event_type, max(ts) FILTER (price IS NOT NULL) + INTERVAL 2 DAY AS pe, max(ts) FILTER (stock IS NOT NULL) + INTERVAL 6 HOUR AS se, max(stock) AS st FROM u WHERE user_id % 4 <> 0 GROUP BY 1, 2),
-  w AS (SELECT DISTINCT user_id, event_type FROM events),
-  s AS (SELECT w.*, pe, st, pe IS NOT NULL AND pe > TIMESTAMP '2024-01-29 00:00:00' AS pf, se IS NOT NULL AND se > TIMESTAMP '2024-01-29 00:00:00' AS sf, pe IS NULL AND se IS NULL AS none FROM w LEFT JOIN c USING (user_id, event_type))
-  SELECT user_id::VARCHAR AS store, event_type AS supplier_reference, CASE WHEN none THEN 'missing' WHEN pf AND sf THEN 'fresh' WHEN pf THEN 'price_fresh_stock_stale' WHEN sf THEN 'stock_fresh_price_stale' ELSE 'stale' END AS freshness, NOT (pf AND sf) AS needs_refresh FROM s WHERE pe IS NOT NULL OR none""")
+@query("l04_refresh_plan", _CACHE.replace("%s", "user_id % 4 <> 0") + " SELECT store, supplier_reference, freshness, freshness <> 'fresh' AS needs_refresh FROM f")
 def l04(spark, sf):
-    """The plan for all keys, of which a quarter of the stores has no cached row; keys without a price are l03's matter."""
+    """The plan for all keys, of which a quarter of the stores has no cached row."""
     u = _updates(spark, sf)
-    cache = live.latest_offers(u.where("store % 4 <> 0"))
-    plan = live.refresh_plan(u, cache, F.expr("timestamp_ntz '2024-01-29 00:00:00'"))
-    return plan.join(cache.where("price_ht is null").select("store", "supplier_reference"), ["store", "supplier_reference"], "left_anti").drop("connector")
+    return live.refresh_plan(u, live.latest_offers(u.where("store % 4 <> 0")), F.expr(_NOW)).drop("connector")
 
 
 @query("s18_concentration", """WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), t AS (SELECT n FROM c ORDER BY n DESC LIMIT 2), s AS (SELECT max(n) AS a, sum(n) AS b FROM t), z AS (SELECT sum(n) AS t FROM c)
