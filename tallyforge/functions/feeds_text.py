@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import fold
+from tallyforge.functions.text import fold, let
 
 #: Name parts that mark a payload's key as secret.
 SENSITIVE = ("cookie", "set-cookie", "authorization", "auth_token", "access_token", "refresh_token", "session", "password", "secret", "api_key", "apikey", "bearer")
@@ -39,12 +39,15 @@ def plain_value(raw: Column) -> Column:
 
     A number is digits with a point or comma and digits after it; all of up to 28 digits before it are kept exactly.
     """
-    said = F.trim(raw)
-    n = F.when(said.rlike(r"^[+-]?\d+([.,]\d+)?$"), F.replace(said, F.lit(","), F.lit(".")).try_cast("decimal(38,10)"))
-    places = F.round(n, 2).cast("string")
-    number = F.regexp_replace(places, r"\.?0+$", "")
-    word = F.trim(fold(raw))
-    return F.when(n.isNotNull(), F.when(number.isin("-0", ""), "0").otherwise(number)).when(word != "", word)
+
+    def number(n: Column) -> Column:
+        return let(F.regexp_replace(F.round(n, 2).cast("string"), r"\.?0+$", ""), lambda t: F.when(t.isin("-0", ""), "0").otherwise(t))
+
+    def read(said: Column) -> Column:
+        n = F.replace(said, F.lit(","), F.lit(".")).try_cast("decimal(38,10)")
+        return F.when(said.rlike(r"^[+-]?\d+([.,]\d+)?$") & n.isNotNull(), let(n, number)).when(said != "", fold(said))
+
+    return let(F.trim(raw), read)
 
 
 def name_key(name: Column) -> Column:

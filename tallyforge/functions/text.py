@@ -62,12 +62,18 @@ def _expanded(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), sign), "")
 
 
+#: The name of a column that holds a label in folded form; functions that are given the name don't fold it again.
+FOLDED = "__folded"
+
+
 def fold(text) -> Column:
     """Lower case without accents and in compatibility form (NFKD); letters that don't decompose (œ, ø) stay.
 
     ASCII texts only become lower case. Signs that become several (㎡, ﬃ, ½) are rare: only texts that hold one
     are taken apart.
     """
+    if isinstance(text, str) and text == FOLDED:
+        return F.col(FOLDED)
     one, to, _ = _folding()
     t = _col(text)
     whole = F.when(F.translate(t, _several(), "") != t, _expanded(t)).otherwise(t)
@@ -91,7 +97,8 @@ def to_mm(value, unit, low: int = 1, high: int = 10_000, bare_small_as_meters: b
 
 def tokens(text, least: int = 3) -> Column:
     """Folded words of ``least`` characters."""
-    return F.filter(F.regexp_extract_all(fold(F.coalesce(_col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)")), lambda t: F.length(t) >= least)
+    said = text if isinstance(text, str) and text == FOLDED else F.coalesce(_col(text), F.lit(""))
+    return F.filter(F.regexp_extract_all(fold(said), F.lit(r"([\p{L}\p{N}_]+)")), lambda t: F.length(t) >= least)
 
 
 def content_tokens(text, stopwords: tuple[str, ...] = (), least: int = 3) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import angle_profile, bar_length_mm, bar_profile, diameter_lengths, dimensions, ean, fold, identity_code, own_key, profile_code, tube_profile, weight_g
+from tallyforge.functions.text import FOLDED, angle_profile, bar_length_mm, bar_profile, diameter_lengths, dimensions, ean, fold, identity_code, length_width, let, own_key, profile_code, thickness_alone, tube_profile, weight_g
 
 #: Nominal lengths of profiles that stand for another; others stay as they are.
 NOMINAL_LENGTHS = {2490: 2500, 2990: 3000}
@@ -56,10 +56,19 @@ class Rule:
         return out
 
 
+def _board_sizes(text: Column) -> Column:
+    """Three sizes of a board, with blanks for thousands; without all three, two sides and a thickness wherever they are."""
+
+    def loose(t: Column) -> Column:
+        return let(length_width(t), lambda s: F.struct(s["length_mm"].alias("length_mm"), s["width_mm"].alias("width_mm"), thickness_alone(t).alias("thickness_mm")))
+
+    return let(F.regexp_replace(text, r"(\d)\s+(\d{3})\b", "$1$2"), lambda t: F.coalesce(dimensions(t), loose(t)))
+
+
 def _measures(text: Column) -> dict[str, Column]:
-    """What labels of any rule are read for; each is read once for all rules."""
+    """What labels of any rule are read for, most of it from their folded form; each is read once for all rules."""
     profiles = {"__profile": profile_code, "__angle": angle_profile, "__rod": bar_profile, "__tube": tube_profile}
-    return {"__screws": diameter_lengths(text), "__board": dimensions(text), "__bar": bar_length_mm(text), "__weight": weight_g(text), **{k: f(text) for k, f in profiles.items()}}
+    return {"__board": _board_sizes(text), "__screws": diameter_lengths(FOLDED), "__bar": bar_length_mm(FOLDED), "__weight": weight_g(FOLDED), **{k: f(FOLDED) for k, f in profiles.items()}}
 
 
 def _identity(rules: tuple[Rule, ...]) -> Column:
@@ -153,9 +162,9 @@ def attributes(folded: Column) -> Column:
 
 
 def _read(ruled: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
-    """``ruled`` with identity; only labels that a rule applies to are read."""
+    """``ruled``, which has FOLDED, with identity instead; only labels that a rule applies to are read."""
     read = {k: F.when(F.col("rule").isNotNull(), c) for k, c in _measures(F.col(text_col)).items()}
-    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop(*read)
+    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop(FOLDED, *read)
 
 
 def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
@@ -165,15 +174,15 @@ def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "d
     """
     rule = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: r.code, reverse=True):
-        rule = F.when(r.applies(F.col("__folded")), r.code).otherwise(rule)
-    return _read(rows.withColumn("__folded", fold(text_col)).withColumn("rule", rule), rules, text_col).drop("__folded")
+        rule = F.when(r.applies(F.col(FOLDED)), r.code).otherwise(rule)
+    return _read(rows.withColumn(FOLDED, fold(text_col)).withColumn("rule", rule), rules, text_col)
 
 
 def claims(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
     """A row for each rule that applies to a label, with rule, identity and attributes; labels without a rule are left out."""
-    codes = F.array_compact(F.array(*(F.when(r.applies(F.col("__folded")), F.lit(r.code)) for r in sorted(rules, key=lambda r: r.code))))
-    told = rows.withColumn("__folded", fold(text_col))
-    told = told.withColumn("attributes", attributes(F.col("__folded"))).withColumn("rule", F.explode(codes)).drop("__folded")
+    codes = F.array_compact(F.array(*(F.when(r.applies(F.col(FOLDED)), F.lit(r.code)) for r in sorted(rules, key=lambda r: r.code))))
+    told = rows.withColumn(FOLDED, fold(text_col))
+    told = told.withColumn("attributes", attributes(F.col(FOLDED))).withColumn("rule", F.explode(codes))
     return _read(told, rules, text_col)
 
 

@@ -36,33 +36,30 @@ FEATURES = (
 
 
 def raw_features(label) -> Column:
-    """map<string,string> of all that a label can be read for; what it doesn't hold is no key. A null label gives an empty map."""
-
-    def read(t: Column) -> Column:
-        whole = let(text.dimensions(t), lambda d: F.struct(d["length_mm"].alias("l"), d["width_mm"].alias("w"), d["thickness_mm"].alias("t")))
-        parts = F.struct(whole.alias("whole"), text.length_width(t).alias("pair"), text.thickness_alone(t).alias("thick"), text.diameter_length(t).alias("screw"))
-
-        def named(p: Column) -> Column:
-            d, pair, screw = p["whole"], p["pair"], p["screw"]
-            diameter = screw["diameter_mm"].cast("double").cast("string")
-            values = {
-                "length_mm": F.coalesce(d["l"], pair["length_mm"]), "width_mm": F.coalesce(d["w"], pair["width_mm"]), "thickness_mm": F.coalesce(d["t"], p["thick"]),
-                "dimensions_lxwxt": F.concat(d["l"].cast("string"), F.lit("x"), d["w"].cast("string"), F.lit("x"), d["t"].cast("string")),
-                "diameter_mm": diameter, "screw_length_mm": screw["length_mm"], "diameter_x_length": F.concat(diameter, F.lit("x"), screw["length_mm"].cast("string")),
-                "bar_length_mm": text.bar_length_mm(t), "profile": text.profile_code(t), "volume_ml": text.volume_ml(t), "weight_g": text.weight_g(t), "dn": text.nominal_diameter(t),
-                "packaging_qty": text.piece_count(t),
-            }
-            return F.create_map(*(x for k in FEATURES for x in (F.lit(k), values[k].cast("string"))))
-
-        return F.map_filter(let(parts, named), lambda k, v: v.isNotNull())
-
-    label = label if isinstance(label, Column) else F.col(label)
-    return let(F.coalesce(label, F.lit("")), read)
+    """map<string,string> of all that a label, whose folded form is the column text.FOLDED, can be read for; what it doesn't hold is no key."""
+    label = F.coalesce(label if isinstance(label, Column) else F.col(label), F.lit(""))
+    whole = let(text.dimensions(label), lambda d: F.struct(d["length_mm"].alias("l"), d["width_mm"].alias("w"), d["thickness_mm"].alias("t")))
+    parts = F.struct(whole.alias("whole"), text.length_width(label).alias("pair"), text.thickness_alone(label).alias("thick"), text.diameter_length(text.FOLDED).alias("screw"))
+
+    def named(p: Column) -> Column:
+        d, pair, screw = p["whole"], p["pair"], p["screw"]
+        diameter = screw["diameter_mm"].cast("double").cast("string")
+        values = {
+            "length_mm": F.coalesce(d["l"], pair["length_mm"]), "width_mm": F.coalesce(d["w"], pair["width_mm"]), "thickness_mm": F.coalesce(d["t"], p["thick"]),
+            "dimensions_lxwxt": F.concat(d["l"].cast("string"), F.lit("x"), d["w"].cast("string"), F.lit("x"), d["t"].cast("string")),
+            "diameter_mm": diameter, "screw_length_mm": screw["length_mm"], "diameter_x_length": F.concat(diameter, F.lit("x"), screw["length_mm"].cast("string")),
+            "bar_length_mm": text.bar_length_mm(text.FOLDED), "profile": text.profile_code(text.FOLDED), "volume_ml": text.volume_ml(text.FOLDED), "weight_g": text.weight_g(text.FOLDED),
+            "dn": text.nominal_diameter(text.FOLDED), "packaging_qty": text.piece_count(text.FOLDED),
+        }
+        return F.create_map(*(x for k in FEATURES for x in (F.lit(k), values[k].cast("string"))))
+
+    return F.map_filter(let(parts, named), lambda k, v: v.isNotNull())
 
 
 def read_labels(rows: DataFrame, id_col: str = "id", text_col: str = "designation", mapped: Column | None = None) -> DataFrame:
     """(id, features, hits, mapped): what each label is read for, once for all families it is in, and the lexicons it has a word of."""
-    words = text.content_tokens(F.col(text_col), STOPWORDS)
+    rows = rows.withColumn(text.FOLDED, text.fold(F.coalesce(F.col(text_col), F.lit(""))))
+    words = text.content_tokens(text.FOLDED, STOPWORDS)
     found = lambda w: F.array(*(F.when(F.arrays_overlap(w, F.array(*map(F.lit, lex))), F.lit(name)) for name, lex in LEXICONS.items()))
     return rows.select(
         F.col(id_col).alias("id"), raw_features(text_col).alias("features"), F.filter(let(words, found), lambda x: x.isNotNull()).alias("hits"),

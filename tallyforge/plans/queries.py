@@ -426,11 +426,6 @@ def _labels(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select(k.alias("id"), text_.alias("designation"), s.alias("s"))
 
 
-def _features(spark, sf) -> DataFrame:
-    """What labels are read for is stored once, and matched from there."""
-    return written(resolve.extract(_labels(spark, sf)), "features")
-
-
 @query("e10_rule_coverage", "SELECT rule, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN 'VIS_BETON' WHEN 1 THEN 'PANNEAU_OSB' WHEN 2 THEN 'OSSATURE_RAIL' WHEN 3 THEN 'CIMENT' END AS rule FROM part) GROUP BY 1")
 def e10(spark, sf):
     return resolve.extract(_labels(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
@@ -562,4 +557,4 @@ def ext_windows(spark, sf):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-from tallyforge.plans import administration  # noqa: E402, F401  registers its queries
+from tallyforge.plans import administration, resolution  # noqa: E402, F401  register their queries
