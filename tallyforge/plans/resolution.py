@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import consolidate, equivalence, resolve, signatures
+from tallyforge.operators import catalogue_rules, consolidate, equivalence, resolve, signatures
 from tallyforge.plans.queries import _labels, query
 from tallyforge.session import ensure_checkpoint_dir, table
 
@@ -68,6 +68,26 @@ def e13(spark, sf):
     return resolve.arbitrate(resolve.match(read, products)).select("id", "outcome", "product_id")
 
 
+# Catalogue categories: a label form for each of seven, and the parts' names, which are in none.
+
+_GOODS = {
+    0: "'Carrelage sol grès beige ROMA ' || (30 + p_size) || ' x 60 cm'", 1: "'Peinture satinée mur blanc pur ' || p_size || ' L'", 2: "'Câble R2V 3G1,5 mm² noir - ' || (p_size + 5) || ' m'", 3: "'Lot de 2 Colle néoprène ' || (50 + p_size) || ' g'",
+    4: "'Tube PVC diam. ' || (16 + p_size) || ' mm 2 m'", 5: "'Panneau polystyrène extrudé 125 cm 60 cm ' || (1 + p_size % 5) || ' cm'", 6: "'Radiateur inertie blanc ' || (500 + p_size) || ' W'",
+}
+
+
+@query("p30_catalogue_claims", """SELECT p_partkey AS id, ['CAT_CARRELAGE', 'CAT_LIQUIDE', 'CABLE_ELEC', 'CAT_COLLE', 'CAT_TUBE', 'POLYSTYRENE_XPS', 'CAT_RADIATEUR'][p_partkey % 8 + 1] AS rule, CASE p_partkey % 8
+  WHEN 0 THEN 'color=beige|decor=roma|finish=std|format=' || 10 * greatest(30 + p_size, 60) || 'x' || 10 * least(30 + p_size, 60) || '|material=gres|usage=sol'
+  WHEN 1 THEN 'color=blanc_pur|finish=satin|gamme=std|kind=peinture|usage=mur|volume=' || CASE WHEN p_size <= 30 THEN p_size || 'l' ELSE '' END
+  WHEN 2 THEN 'color=noir|conductors=3|kind=r2v|length_m=' || (p_size + 5) || '|section_mm2=1.5' WHEN 3 THEN 'kind=neoprene|quantite=' || (50 + p_size) || 'g' WHEN 4 THEN 'diameter_mm=' || (16 + p_size) || '|length=2m|material=pvc'
+  WHEN 5 THEN 'length_mm=1250|thickness_mm=' || 10 * (1 + p_size % 5) || '|type=xps|width_mm=600' ELSE 'color=blanc|format=|kind=inertie|modele=|power_w=' || (500 + p_size) END AS identity FROM part WHERE p_partkey % 8 < 7""")
+def p30(spark, sf):
+    case = "CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, x in _GOODS.items()) + " ELSE p_name END"
+    found = catalogue_rules.catalogue_claims(table(spark, sf, "part").selectExpr("p_partkey AS id", f"{case} AS designation"))
+    told = F.transform(F.array_sort(F.map_entries("identity")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return found.select("id", "rule", F.array_join(told, "|").alias("identity"))
+
+
 # Equivalence: every third part is a product of the one supplier, the two after it are references of the other.
 
 _SIDES = """p AS (SELECT p_partkey AS id, p_partkey - p_partkey % 3 AS k, p_partkey % 3 AS side, 2 + (p_partkey - p_partkey % 3) // 100 % 6 AS d, 11 + (p_partkey - p_partkey % 3) % 100 AS l FROM part),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import http_url, parse_timestamp
@@ -28,18 +28,26 @@ def sniff_delimiter(sample: str) -> str:
     return ";" if head.count(";") > head.count(",") and "\n" in head else ","
 
 
-def read_offer_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an offer file as strings, with ``line``; blank rows left out. Missing columns are an error."""
+def read_offer_csv(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """Rows of an offer file, or of a folder of them, as strings, with ``line``, the place of the record in its file (the first is 2).
+
+    Blank rows are left out, but count as lines where the reader gives them. Missing columns are an error, and so is a file of
+    more than ``most`` bytes; its contents aren't read for that.
+    """
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > most).select("path").first()
+    if large:
+        raise ValueError(f"{large.path} has more than {most} bytes")
     head = spark.read.text(path).limit(64).collect()
     sep = sniff_delimiter("\n".join(r[0] for r in head) + "\n")
     raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", "UTF-8").csv(path)
     named = {c: OTHER_NAMES.get(c.strip("﻿ \t"), c.strip("﻿ \t")) for c in raw.columns}
-    rows = raw.withColumnsRenamed(named)
+    # A file with quoted line ends is read by one task, so that its records have ascending numbers.
+    rows = raw.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id()).withColumnsRenamed(named)
     missing = [c for c in REQUIRED if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    rows = rows.select(*(F.trim(F.col(c)).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in REQUIRED + OPTIONAL))
-    rows = rows.withColumn("line", F.monotonically_increasing_id() + 2)
+    line = F.row_number().over(Window.partitionBy("__file").orderBy("__at")).cast("long") + 1
+    rows = rows.select(*(F.trim(F.col(c)).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in REQUIRED + OPTIONAL), line.alias("line"))
     return rows.where(F.exists(F.array(*REQUIRED, *OPTIONAL), lambda v: v.isNotNull() & (v != "")))
 
 
@@ -90,6 +98,8 @@ def validate_offers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         packs.alias("reference_quantity"), F.when(_number("reference_quantity").isNull(), F.lit(1)).otherwise(F.coalesce(_number("packaging_quantity"), F.lit(1))).cast("decimal(12,3)").alias("packaging_quantity"),
         F.floor(F.coalesce(_number("available_quantity"), F.lit(0)) / packs).cast("int").alias("stock"), F.coalesce(F.col("preparation_minutes").try_cast("int"), F.lit(60)).alias("preparation_minutes"),
         parse_timestamp("observed_at").alias("observed_at"), _number("agency_latitude").cast("double").alias("latitude"), _number("agency_longitude").cast("double").alias("longitude"), http_url("source_url").alias("source_url"),
+        *(F.nullif(c, F.lit("")).alias(c) for c in ("agency_name", "agency_address", "agency_postal_code", "agency_city", "ean", "reference_unit")), http_url("image_url").alias("image_url"),
+        F.upper("currency").alias("currency"), _number("available_quantity").alias("available_quantity"),
     )
     return offers, bad.union(twice)
 
