@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.feeds_text import has_sensitive_key
+
 KEYS = ["connector", "store", "supplier_reference"]
 
 
@@ -48,3 +50,20 @@ def refresh_plan(wanted: DataFrame, cache: DataFrame, now: Column, keys: list[st
 def provenance(refreshed: Column, fresh: Column) -> Column:
     """live if just fetched, cache if still valid, stale if served after a failure."""
     return F.when(refreshed, "live").when(fresh, "cache").otherwise("stale")
+
+
+def put_stores(cache: DataFrame, answers: DataFrame, ttl: str) -> DataFrame:
+    """The store cache (connector, lookup, payload, fetched_at, expires_at) with new answers (connector, lookup, payload, fetched_at).
+
+    The newest answer of a look-up stays, of two at one moment the greater payload; it is valid for ``ttl``. Answers without
+    a payload or a time, or with a key that marks a secret, are refused.
+    """
+    fine = answers.where(F.col("payload").isNotNull() & F.col("fetched_at").isNotNull() & ~has_sensitive_key(F.col("payload")))
+    rows = cache.unionByName(fine.withColumn("expires_at", F.col("fetched_at") + F.expr(f"interval {ttl}")).select(*cache.columns))
+    return rows.groupBy("connector", "lookup").agg(F.max(F.struct("fetched_at", "payload", "expires_at")).alias("x")).select("connector", "lookup", "x.payload", "x.fetched_at", "x.expires_at")
+
+
+def get_stores(cache: DataFrame, wanted: DataFrame, now: Column, allow_stale: bool = False) -> DataFrame:
+    """The cached answer of each wanted look-up (connector, lookup) once, with is_fresh; stale ones only if asked for."""
+    found = wanted.select("connector", "lookup").distinct().join(cache, ["connector", "lookup"]).withColumn("is_fresh", F.col("expires_at") > now)
+    return found if allow_stale else found.where("is_fresh")

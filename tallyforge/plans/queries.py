@@ -532,6 +532,20 @@ def l04(spark, sf):
     return live.refresh_plan(u, live.latest_offers(u.where("store % 4 <> 0")), F.expr(_NOW)).drop("connector")
 
 
+@query("l01_store_cache", """WITH a AS (SELECT user_id, ts, props, event_id FROM events WHERE event_id % 7 <> 0), l AS (SELECT user_id, max({'t': ts, 'p': '{"n": ' || event_id || '}'}) AS x FROM a GROUP BY 1)
+  SELECT 'c' AS connector, l.user_id::VARCHAR AS lookup, x.p AS payload, x.t + INTERVAL 2 DAY > TIMESTAMP '2024-01-29 00:00:00' AS is_fresh FROM l WHERE l.user_id % 3 <> 0 OR x.t + INTERVAL 2 DAY > TIMESTAMP '2024-01-29 00:00:00'""")
+def l01(spark, sf):
+    """Answers for all users in two rounds; those with a secret are refused. A third of the look-ups takes no stale answer."""
+    e = table(spark, sf, "events")
+    payload = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"session": '), "event_id", F.lit("}"))).otherwise(F.concat(F.lit('{"n": '), "event_id", F.lit("}")))
+    answers = e.select(F.lit("c").alias("connector"), F.col("user_id").cast("string").alias("lookup"), payload.alias("payload"), F.col("ts").alias("fetched_at"), "event_id")
+    cache = answers.limit(0).drop("event_id").withColumn("expires_at", F.col("fetched_at"))
+    for half in (1, 0):
+        cache = live.put_stores(cache, answers.where(F.col("event_id") % 2 == half), "2 days")
+    found = [live.get_stores(cache, answers.where((F.col("lookup").cast("long") % 3 == 0) == strict), F.expr(_NOW), allow_stale=not strict) for strict in (True, False)]
+    return found[0].unionByName(found[1]).select("connector", "lookup", "payload", "is_fresh")
+
+
 @query("s18_concentration", """WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), t AS (SELECT n FROM c ORDER BY n DESC LIMIT 2), s AS (SELECT max(n) AS a, sum(n) AS b FROM t), z AS (SELECT sum(n) AS t FROM c)
   SELECT round(a * 100::DOUBLE / t, 2) AS top1, round(b * 100::DOUBLE / t, 2) AS top2, round(b * 100::DOUBLE / t, 2) > 70 AS warning FROM s, z""")
 def s18(spark, sf):
