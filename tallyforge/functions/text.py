@@ -375,6 +375,13 @@ def search_key(text) -> Column:
     return F.trim(F.regexp_replace(fold(text), r"[^a-z0-9]+", " "))
 
 
+def address_lines(street, postal_code, city) -> Column:
+    """The street, and postal code and city, a line each; what is missing or blank leaves no line."""
+    given = lambda c: F.nullif(F.trim(_col(c)), F.lit(""))
+    place = F.nullif(F.concat_ws(" ", given(postal_code), given(city)), F.lit(""))
+    return F.concat_ws("\n", given(street), place)
+
+
 def contains_any(query: str, *columns: str) -> Column:
     """A literal, case-insensitive substring search over some columns; wildcards have no meaning."""
     q = F.lower(F.lit(query))

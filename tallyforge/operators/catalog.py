@@ -96,6 +96,12 @@ def mapping_page(supplier_products: DataFrame, offers: DataFrame, catalog_id: in
     return counts, rows.where(kept).drop("__offer").orderBy("supplier_reference").offset((page - 1) * size).limit(size)
 
 
+def page_of(total, size: int, asked: Column) -> tuple[Column, Column]:
+    """(pages, page) as columns: one page at least, and the page that is shown for the one asked for."""
+    pages = F.greatest(F.lit(1), F.ceil((total if isinstance(total, Column) else F.col(total)) / size)).cast("bigint")
+    return pages, F.greatest(F.lit(1), F.least(asked, pages)).cast("bigint")
+
+
 def clamp_page(total: int, size: int, page: int) -> int:
     return max(1, min(page, max(1, -(-total // size))))
 

@@ -121,7 +121,7 @@ def a16(spark, sf):
     return discover.discrimination(rows)
 
 
-@query("t18_strip_html")
+@query("t18_strip_html", r"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS text FROM pages")
 def t18(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("text"))
 
@@ -387,13 +387,38 @@ def d02(spark, sf):
     return discover.clusters_v1(discover.labelled(table(spark, sf, "part"), "p_partkey", "p_name"))
 
 
-@query("d03_clusters_v2")
+_ATTRIBUTE = lambda x: f"{x} IN ({', '.join(repr(w) for w in discover.ATTRIBUTES)})"
+_PAIRS = f"""{_SEEDED}, tok AS (SELECT id, list_filter(tokens, lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({', '.join(repr(w) for w in discover.STOPWORDS)})) AS t FROM lab),
+  pr AS (SELECT DISTINCT id, t[i] || ' ' || t[i + 1] AS term FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM tok)), un AS (SELECT DISTINCT id, unnest(t) AS term FROM tok),
+  rk AS (SELECT *, {_ATTRIBUTE("split_part(term, ' ', 1)")} AS a, {_ATTRIBUTE("split_part(term, ' ', 2)")} AS b FROM pr)"""
+
+
+@query("d03_clusters_v2", f"""{_PAIRS},
+  d1 AS (SELECT term, (a OR b)::INT AS worse, count(*) AS df FROM rk WHERE NOT (a AND b) GROUP BY term, a, b HAVING count(*) >= 15),
+  p1 AS (SELECT id, term AS seed FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY worse, df DESC, term) AS r FROM pr JOIN d1 USING (term)) WHERE r = 1),
+  g1 AS (SELECT id, seed, 'bigram' AS kind, count(*) OVER (PARTITION BY seed) AS size FROM p1 QUALIFY size >= 15),
+  u2 AS (SELECT * FROM un WHERE id NOT IN (SELECT id FROM g1)), d2 AS (SELECT term, count(*) AS df FROM u2 WHERE NOT {_ATTRIBUTE('term')} GROUP BY 1 HAVING count(*) >= 25),
+  p2 AS (SELECT id, term AS seed FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY df DESC, term) AS r FROM u2 JOIN d2 USING (term)) WHERE r = 1),
+  g2 AS (SELECT id, seed, 'unigram' AS kind, count(*) OVER (PARTITION BY seed) AS size FROM p2 QUALIFY size >= 25), g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2),
+  v AS (SELECT seed, round(ln(((SELECT count(*) FROM lab) + 1)::DOUBLE / (count(*) + 1)) + 1, 4) AS idf FROM (SELECT DISTINCT seed FROM g2) JOIN un ON term = seed GROUP BY 1),
+  low AS (SELECT CASE WHEN count(*) >= 4 THEN round(median(idf), 4) ELSE 1.0 END AS low FROM v),
+  s AS (SELECT g.id, g.seed AS parent FROM g LEFT JOIN v USING (seed), low WHERE size >= 200 OR (kind = 'unigram' AND idf < low AND size >= 24)),
+  c AS (SELECT s.parent, s.id, rk.term, rk.a, rk.b FROM s JOIN rk USING (id) WHERE rk.term <> s.parent AND NOT (a AND b)), dc AS (SELECT parent, term, (a OR b)::INT AS worse, count(*) AS df FROM c GROUP BY parent, term, a, b HAVING count(*) >= 12),
+  pc AS (SELECT id, parent, term AS seed FROM (SELECT c.id, parent, term, row_number() OVER (PARTITION BY parent, c.id ORDER BY worse, df DESC, term) AS r FROM c JOIN dc USING (parent, term)) WHERE r = 1),
+  gc AS (SELECT id, seed AS child, count(*) OVER (PARTITION BY parent, seed) AS n FROM pc QUALIFY n >= 12)
+  SELECT lab.id, kind, seed, size, child FROM lab LEFT JOIN g USING (id) LEFT JOIN gc USING (id)""")
 def d03(spark, sf):
     return discover.clusters_v2(discover.labelled(table(spark, sf, "part"), "p_partkey", "p_name"))
 
 
-@query("d18_cluster_report")
-def d18(spark, sf):
+_REPORT = ORACLE["d02_clusters"].replace("SELECT lab.id, s.seed, s.size FROM lab LEFT JOIN p USING (id) LEFT JOIN s USING (seed)", """, m AS (SELECT p.id, s.seed, s.size FROM p JOIN s USING (seed)),
+  w AS (SELECT seed, size, term, count(*) AS df FROM m JOIN t USING (id) WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (%s) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY df DESC, term) AS r FROM w)
+  SELECT seed, size, round(max(df::DOUBLE / size) FILTER (term <> seed), 4) AS cohesion, string_agg(term, ' ' ORDER BY r) AS top FROM r WHERE r <= 10 GROUP BY 1, 2""" % ", ".join(repr(w) for w in discover.STOPWORDS)).replace("HAVING count(*) >= 25) , m", "HAVING count(*) >= 25), m")
+
+
+@query("a18_cluster_report", _REPORT)
+@query("d18_cluster_report", _REPORT)
+def a18(spark, sf):
     rows = discover.labelled(table(spark, sf, "part"), "p_partkey", "p_name")
     r = discover.cluster_report(rows, discover.clusters_v1(rows))
     return r.select("seed", "size", "cohesion", F.array_join(F.transform("top_tokens", lambda x: x["term"]), " ").alias("top"))
@@ -571,4 +596,4 @@ def ext_windows(spark, sf):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-from tallyforge.plans import administration, resolution  # noqa: E402, F401  register their queries
+from tallyforge.plans import administration, functions, resolution  # noqa: E402, F401  register their queries

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import http_url, parse_timestamp
+from tallyforge.functions.text import http_url, parse_timestamp, strip_html
 from tallyforge.operators.upsert import keep_first
 
 # Columns of an offer file, other names of one, and its limits.
@@ -167,3 +167,60 @@ def concentration(counts: DataFrame, n: str = "n") -> DataFrame:
     total = counts.agg(F.sum(n).alias("t"))
     share = lambda c: F.round(F.col(c) * 100 / F.col("t"), 2)
     return top.crossJoin(total).select(share("a").alias("top1"), share("b").alias("top2"), (share("b") > 70).alias("warning"))
+
+
+# Where the price of a live payload may stand, by basis and by piece or measure, in order.
+PRICE_PATHS = {
+    "ht": (("piece", "$.price.ht.piece"), ("piece", "$.price_ht"), ("measure", "$.price.ht.measure")), "ttc": (("piece", "$.price.ttc.piece"), ("piece", "$.price_ttc"), ("measure", "$.price.ttc.measure")),
+}
+
+
+def live_price(payload) -> Column:
+    """struct(ht, ttc, per): the prices of a live payload (JSON text), to cents, and what they are for: piece, or m2 by measure.
+
+    Of several places the first with a positive number counts, by piece before by measure; both prices are for the
+    same. A payload that is no JSON, or has something else where a price should be, has none.
+    """
+    v = F.try_parse_json(payload if isinstance(payload, Column) else F.col(payload))
+
+    def read(doc: Column) -> Column:
+        def price(basis: str, per: str) -> Column:
+            said = [F.replace(F.try_variant_get(doc, path, "string"), F.lit(","), F.lit(".")).try_cast("decimal(12,4)") for kind, path in PRICE_PATHS[basis] if kind == per]
+            return F.round(F.coalesce(*(F.when(p > 0, p) for p in said)), 2).cast("decimal(12,2)")
+
+        both = {per: F.struct(price("ht", per).alias("ht"), price("ttc", per).alias("ttc"), F.lit(name).alias("per")) for per, name in (("piece", "piece"), ("measure", "m2"))}
+        there = lambda s: s["ht"].isNotNull() | s["ttc"].isNotNull()
+        return F.try_element_at(F.filter(F.array(*both.values()), there), F.lit(1))
+
+    return F.element_at(F.transform(F.array(v), read), 1)
+
+
+EXPORT = "struct<products:array<struct<sku:string,variant:string,name:string,ean:string,brand:string,url:string>>>"
+
+
+def export_products(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, bad): the products of JSON exports (file, text), an object with a list 'products', in their order; and files that hold none.
+
+    A product without a sku is left out. To read a folder: spark.read.text(path, wholetext=True) with its file's name.
+    """
+    read = files.withColumn("__doc", F.from_json("text", EXPORT)).withColumn("__list", F.col("__doc.products"))
+    rows = read.where("__list IS NOT NULL").select("file", F.posexplode("__list").alias("pos", "p")).select("file", "pos", "p.*").where(F.trim(F.coalesce("sku", F.lit(""))) != "")
+    return rows, read.where("__list IS NULL").select("file")
+
+
+_LINK = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>(.*?)(?=<a\b|$)"
+
+
+def store_directory(pages: DataFrame, url_part: str) -> DataFrame:
+    """(file, store_id, name, url, postal_code, city) of the links of HTML store lists (file, html) whose address holds ``url_part``.
+
+    The id is the last number of the address. Postal code and city stand after the link: five digits and what follows,
+    or the text alone. Of several links to one store in a file the first counts.
+    """
+    groups = F.struct(*(F.regexp_extract_all("html", F.lit(_LINK), F.lit(i)).alias(n) for i, n in enumerate(("url", "name", "rest"), 1)))
+    links = pages.select("file", groups.alias("g")).select("file", F.posexplode(F.arrays_zip("g.url", "g.name", "g.rest")).alias("pos", "x")).where(F.contains("x.url", F.lit(url_part)))
+    plain = lambda c: F.trim(F.regexp_replace(F.replace(F.replace(strip_html(c), F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" ")), r"\s+", " "))
+    rows = links.select("file", "pos", F.regexp_extract("x.url", r"(\d+)\D*$", 1).alias("store_id"), plain(F.col("x.name")).alias("name"), F.col("x.url").alias("url"), plain(F.col("x.rest")).alias("__rest")).where("store_id <> ''")
+    code = F.nullif(F.regexp_extract("__rest", r"\b(\d{5})\b", 1), F.lit(""))
+    city = F.nullif(F.trim(F.when(code.isNotNull(), F.regexp_extract("__rest", r"\b\d{5}\b(.*)$", 1)).otherwise(F.col("__rest"))), F.lit(""))
+    return keep_first(rows.withColumns({"postal_code": code, "city": city}).drop("__rest"), ["file", "store_id"], "pos")[0].drop("pos")
