@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.geo import haversine_km
-from tallyforge.functions.money import converted, money_round, packs_cost
-from tallyforge.operators.offers import available_quantity, covers, for_lines, geolocated, national
+from tallyforge.functions.money import basis, comparable, converted, money_round, packs_cost
+from tallyforge.operators.offers import available_quantity, covers, for_lines, geolocated, national, unlimited
+from tallyforge.session import ensure_checkpoint_dir
 
 #: Availability of a line in the order in which pools are tried.
 POOLS = ("available", "partial", "delayed", "order_only")
@@ -40,9 +41,41 @@ def ranked_offers(lines: DataFrame, offers: DataFrame, target: str = "HT", origi
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def _thousandths(c: str) -> Column:
+    return F.round(F.col(c) * 1000).cast("bigint")
+
+
+def _chosen(lines: DataFrame, offers: DataFrame, target: str, origin: tuple[float, float], by: tuple[str, ...]) -> DataFrame:
+    """The first of ranked_offers for carts with one origin, with the columns that best_lines takes.
+
+    Offers are ranked once for each product by all that doesn't depend on the quantity; a line then only compares whole
+    numbers: the pool with the packs, the cents, and that rank. What is bought is looked up for the winners alone.
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    kept = offers.where(comparable("tax_basis", "vat_rate", target)).withColumn("distance", F.when(geolocated(), haversine_km(*origin, "latitude", "longitude")).otherwise(float("inf")))
+    turn = Window.partitionBy("product_id").orderBy("distance", "preparation_minutes", "supplier", "agency_key", "supplier_reference")
+    kept = kept.withColumn("turn", F.row_number().over(turn)).checkpoint()
+    how = F.coalesce("fulfillment", F.lit(""))
+    rate = F.when(basis("tax_basis") != F.lit(target), F.round(F.col("vat_rate") * 100).cast("bigint") + 10_000)
+    slim = kept.select(
+        "product_id", "turn", *(c for c in by if c not in lines.columns), F.col("stock").cast("bigint").alias("stock"), unlimited().alias("unlimited"), _thousandths("reference_quantity").alias("pack"), F.round(F.col("price") * 100).cast("bigint").alias("cents"),
+        (rate if target == "TTC" else F.when(rate.isNotNull(), F.lit(10_000).cast("bigint"))).alias("times"), (rate if target == "HT" else F.when(rate.isNotNull(), F.lit(10_000).cast("bigint"))).alias("parts"),
+        F.when(how == "delayed", 2).when(how == "order_only", 3).when(how == "unavailable", 4).otherwise(0).alias("later"),
+    )
+    asked = lines.withColumn("__q", _thousandths("quantity"))
+    rows = asked.join(slim, "product_id").withColumn("needed", F.expr("(__q + pack - 1) div pack"))
+    rows = rows.withColumn("pool", F.when(F.col("later") > 0, F.nullif("later", F.lit(4))).when(F.col("unlimited") | (F.col("stock") >= F.col("needed")), 0).when(F.col("stock") > 0, 1)).where("pool IS NOT NULL")
+    rows = rows.withColumn("packs", F.when(F.col("pool") == 1, F.least("stock", "needed")).otherwise(F.col("needed")))
+    cost = F.when(F.col("times").isNull(), F.col("cents") * F.col("packs")).otherwise(F.expr("(2 * cents * packs * times + parts) div (2 * parts)"))
+    first = F.shiftleft(F.col("pool").cast("bigint"), 40) + F.when(F.col("pool") == 1, (1 << 39) - F.col("packs")).otherwise(0)
+    best = rows.groupBy(*by, "product_id").agg(F.min(F.struct(first.alias("first"), cost.alias("cost"), "turn", "quantity", "packs")).alias("x"))
+    best = best.select(*by, "product_id", "x.turn", "x.quantity", F.col("x.packs").cast("int").alias("packs"), F.shiftright("x.first", 40).cast("int").alias("pool"), (F.col("x.cost").cast("decimal(14,0)") / 100).cast("decimal(12,2)").alias("line_total"))
+    return best.join(kept.drop(*(c for c in by if c not in lines.columns)), ["product_id", "turn"])
+
+
 def best_lines(lines: DataFrame, offers: DataFrame, target: str = "HT", origin: tuple[float, float] | None = None, by=("cart_id",)) -> DataFrame:
     """The chosen offer of every line that has one, as bought and shown."""
-    best = ranked_offers(lines, offers, target, origin, by).where("rank = 1")
+    best = _chosen(lines, offers, target, origin, tuple(by)) if origin else ranked_offers(lines, offers, target, origin, by).where("rank = 1")
     bought = F.col("packs") * F.col("reference_quantity")
     names = F.array(*map(F.lit, POOLS))
     shown = F.coalesce(converted("price", "tax_basis", "vat_rate", target), money_round("price")).cast("decimal(12,2)")

@@ -393,7 +393,7 @@ _PAIRS = f"""{_SEEDED}, tok AS (SELECT id, list_filter(tokens, lambda x: NOT reg
   rk AS (SELECT *, {_ATTRIBUTE("split_part(term, ' ', 1)")} AS a, {_ATTRIBUTE("split_part(term, ' ', 2)")} AS b FROM pr)"""
 
 
-@query("d03_clusters_v2", f"""{_PAIRS},
+_CLUSTERED = f"""{_PAIRS},
   d1 AS (SELECT term, (a OR b)::INT AS worse, count(*) AS df FROM rk WHERE NOT (a AND b) GROUP BY term, a, b HAVING count(*) >= 15),
   p1 AS (SELECT id, term AS seed FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY worse, df DESC, term) AS r FROM pr JOIN d1 USING (term)) WHERE r = 1),
   g1 AS (SELECT id, seed, 'bigram' AS kind, count(*) OVER (PARTITION BY seed) AS size FROM p1 QUALIFY size >= 15),
@@ -405,12 +405,25 @@ _PAIRS = f"""{_SEEDED}, tok AS (SELECT id, list_filter(tokens, lambda x: NOT reg
   s AS (SELECT g.id, g.seed AS parent FROM g LEFT JOIN v USING (seed), low WHERE size >= 200 OR (kind = 'unigram' AND idf < low AND size >= 24)),
   c AS (SELECT s.parent, s.id, rk.term, rk.a, rk.b FROM s JOIN rk USING (id) WHERE rk.term <> s.parent AND NOT (a AND b)), dc AS (SELECT parent, term, (a OR b)::INT AS worse, count(*) AS df FROM c GROUP BY parent, term, a, b HAVING count(*) >= 12),
   pc AS (SELECT id, parent, term AS seed FROM (SELECT c.id, parent, term, row_number() OVER (PARTITION BY parent, c.id ORDER BY worse, df DESC, term) AS r FROM c JOIN dc USING (parent, term)) WHERE r = 1),
-  gc AS (SELECT id, seed AS child, count(*) OVER (PARTITION BY parent, seed) AS n FROM pc QUALIFY n >= 12)
-  SELECT lab.id, kind, seed, size, child FROM lab LEFT JOIN g USING (id) LEFT JOIN gc USING (id)""")
+  gc AS (SELECT id, seed AS child, count(*) OVER (PARTITION BY parent, seed) AS n FROM pc QUALIFY n >= 12)"""
+
+
+@query("d03_clusters_v2", _CLUSTERED + " SELECT lab.id, kind, seed, size, child FROM lab LEFT JOIN g USING (id) LEFT JOIN gc USING (id)")
 def d03(spark, sf):
     return discover.clusters_v2(discover.labelled(table(spark, sf, "part"), "p_partkey", "p_name"))
 
 
+@query("d07_generic_groups", _CLUSTERED + """, z AS (SELECT seed, kind, count(*) AS size FROM g GROUP BY 1, 2), sp AS (SELECT DISTINCT parent FROM s),
+  sh AS (SELECT seed, count(*) AS n FROM (SELECT g.seed, un.term, count(*) AS k, any_value(g.size) AS size FROM g JOIN un USING (id) GROUP BY 1, 2) WHERE k > 0.3 * size AND NOT list_contains(string_split(seed, ' '), term) GROUP BY 1),
+  lp AS (SELECT parent, count(*) AS n FROM dc GROUP BY 1), tc AS (SELECT s.parent, max(gc.n) AS n FROM s JOIN gc USING (id) GROUP BY 1)
+  SELECT z.seed, kind, size, sp.parent IS NOT NULL AS split, round(coalesce(tc.n, 0)::DOUBLE / size, 4) AS top_child_share, coalesce(lp.n, 0) AS local_pairs, coalesce(sh.n, 0) AS shared_tokens,
+    CASE WHEN kind = 'bigram' AND sp.parent IS NULL THEN false ELSE sp.parent IS NOT NULL AND round(coalesce(tc.n, 0)::DOUBLE / size, 4) < 0.4 AND coalesce(lp.n, 0) > 8 OR coalesce(sh.n, 0) > 12 OR kind = 'unigram' AND v.idf < low.low END AS generic
+  FROM z LEFT JOIN sp ON sp.parent = seed LEFT JOIN sh USING (seed) LEFT JOIN lp ON lp.parent = seed LEFT JOIN tc ON tc.parent = seed LEFT JOIN v USING (seed), low""")
+def d07(spark, sf):
+    groups, _ = discover.group_report(discover.labelled(table(spark, sf, "part"), "p_partkey", "p_name"))
+    return groups.select("seed", "kind", "size", "split", "top_child_share", "local_pairs", "shared_tokens", "generic")
+
+
 _REPORT = ORACLE["d02_clusters"].replace("SELECT lab.id, s.seed, s.size FROM lab LEFT JOIN p USING (id) LEFT JOIN s USING (seed)", """, m AS (SELECT p.id, s.seed, s.size FROM p JOIN s USING (seed)),
   w AS (SELECT seed, size, term, count(*) AS df FROM m JOIN t USING (id) WHERE NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (%s) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY df DESC, term) AS r FROM w)
   SELECT seed, size, round(max(df::DOUBLE / size) FILTER (term <> seed), 4) AS cohesion, string_agg(term, ' ' ORDER BY r) AS top FROM r WHERE r <= 10 GROUP BY 1, 2""" % ", ".join(repr(w) for w in discover.STOPWORDS)).replace("HAVING count(*) >= 25) , m", "HAVING count(*) >= 25), m")
@@ -596,4 +609,4 @@ def ext_windows(spark, sf):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-from tallyforge.plans import administration, functions, resolution  # noqa: E402, F401  register their queries
+from tallyforge.plans import administration, functions, maintenance, resolution  # noqa: E402, F401  register their queries

@@ -126,3 +126,16 @@ def test_roots_that_only_touch_stand_alone(spark):
     # VIS and CLOU share 40 of 140; CLOU and RIVET 40 of 90, which links them; only CLOU is held by the primary of its component.
     assert {r.family: (r.role, r.root) for r in got.collect()} == {"VIS": ("primary", "VIS"), "CLOU": ("primary", "CLOU"), "RIVET": ("attached", "CLOU")}
     assert consolidate.consolidate(spark.createDataFrame([], "model string, family string"), spark.createDataFrame([], "family string, id long")).count() == 0
+
+
+def test_generic_groups_and_actionable_families(spark):
+    labels = [f"Vis bois pro {i} mm" for i in range(30)] + [f"Cheville nylon pro {i} mm" for i in range(30)] + [f"Autre{i} article{i} bois" for i in range(30)]
+    rows = discover.labelled(frame(spark, labels))
+    groups, children = discover.group_report(rows, signatures.read_labels(frame(spark, labels), mapped=F.col("id") <= 5))
+    got = {(r.seed, r.kind, r["size"], r.split) for r in groups.collect()}
+    assert got == {("bois pro", "bigram", 30, False), ("cheville nylon", "bigram", 30, False), ("bois", "unigram", 30, False)}
+    assert not [r for r in groups.collect() if r.kind == "bigram" and r.generic] and {r.technical for r in groups.collect()} == {0.0}
+    done = [(r.path, r["size"], r.mapped) for r in discover.actionable_families(groups, children).collect()]
+    assert all(n >= 25 for _, n, _ in done) and len(done) >= 2 and sum(m for _, _, m in done) == 5
+    none = discover.group_report(rows.limit(0))
+    assert none[0].count() == 0 and discover.actionable_families(*none).count() == 0
