@@ -39,8 +39,13 @@ FAMILIES = {
 }
 
 
-def test_each_model_is_found_once(spark):
-    got = signatures.qualify(signed(spark, FAMILIES), F.col("family") == "CONNUE", F.col("family") == "GENERIQUE").collect()
+@pytest.fixture(scope="module")
+def known(spark):
+    return signed(spark, FAMILIES).checkpoint()
+
+
+def test_each_model_is_found_once(known):
+    got = signatures.qualify(known, F.col("family") == "CONNUE", F.col("family") == "GENERIQUE").collect()
     assert {r.family: (r.status, r.candidate_model, r.complexity) for r in got} == {
         "VIS AGGLO": ("READY_EXISTING_MODEL", "DIMENSIONAL_FASTENER", "XS"), "PANNEAU OSB": ("READY_EXISTING_MODEL", "BOARD_PANEL", "XS"), "RAIL": ("READY_EXISTING_MODEL", "LINEAR_PROFILE", "XS"),
         "TUYAU PVC": ("READY_GENERIC_FEATURES", "PIPE", "S"), "PEINTURE": ("NEEDS_IDENTITY_DECISION", "LIQUID_FINISH", "M"), "CIMENT": ("READY_GENERIC_FEATURES", "BAGGED_MATERIAL", "S"),
@@ -50,9 +55,9 @@ def test_each_model_is_found_once(spark):
     vis = next(r for r in got if r.family == "VIS AGGLO")
     assert (vis["count"], vis.mapped, vis.features["diameter_x_length"].distinct, vis.features["diameter_mm"].examples) == (20, 5, 20, ["3.5"])
     assert vis.features["packaging_qty"].coverage == 1.0 and vis.lexical["fastener"] == 1.0
-    wins = [r.family for r in signatures.quick_wins(signatures.qualify(signed(spark, FAMILIES))).collect()]
+    wins = [r.family for r in signatures.quick_wins(signatures.qualify(known)).collect()]
     assert wins[:3] == ["VIS AGGLO", "PANNEAU OSB", "RAIL"] and "PEINTURE" not in wins
-    assert [r.family for r in signatures.high_impact(signatures.qualify(signed(spark, FAMILIES)), 2).collect()] == ["GENERIQUE", "TUYAU PVC"]
+    assert [r.family for r in signatures.high_impact(signatures.qualify(known), 2).collect()] == ["GENERIQUE", "TUYAU PVC"]
 
 
 def test_signatures_of_nothing(spark):

@@ -33,7 +33,7 @@ def spread(seed):
     return town + globe + edges + [(48.0, None), (None, 2.0)]
 
 
-@pytest.mark.parametrize("seed, k, level", [(1, 3, None), (2, 1, 12), (3, 5, 4)])
+@pytest.mark.parametrize("seed, k, level", [(1, 3, None), (3, 5, 4)])
 def test_rings_find_the_nearest(spark, seed, k, level):
     places = [(100 + i, *p) for i, p in enumerate(spread(seed))]
     points = [(i, *p) for i, p in enumerate(spread(seed + 50) + spread(seed)[-13:])]
