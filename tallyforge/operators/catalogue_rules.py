@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import FOLDED, dimensions, fold, let, parse_number, to_mm
+from tallyforge.operators.labels import by_label, stored
 from tallyforge.operators.resolve import BOARD, BAGGED, IdentityModel
 
 # Packs before a label, names in quotes or capitals, capitals that are no name, and signs that stand for x, ø and a blank.
@@ -339,8 +340,6 @@ def catalogue_claims(rows: DataFrame, categories: tuple[Category, ...] = CATEGOR
     Labels without a category, and null labels, are left out. Measures are read only for labels with a category, once each.
     """
     blank = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    packed = rows.withColumn("__label", strip_pack(blank)).withColumn("__whole", F.col("__label") == blank)
-    told = packed.withColumn(FOLDED, fold(F.translate("__label", *_SIGNS)))
     t = F.col(FOLDED)
 
     def applies(c: Category) -> Column:
@@ -351,15 +350,21 @@ def catalogue_claims(rows: DataFrame, categories: tuple[Category, ...] = CATEGOR
         return out & F.col("__whole") if c.code == "CAT_KIT" else out
 
     codes = F.array_compact(F.array(*(F.when(applies(c), F.lit(c.code)) for c in sorted(categories, key=lambda c: c.code))))
-    told = told.withColumn("__codes", codes).where(F.size("__codes") > 0)
-    told = told.withColumn("__pair", last_pair(t))
-    parts = _measures(F.col("__label"), t, F.col("__pair"))
-    boxed = F.exists("__codes", lambda c: c.isin("BETON_CELLULAIRE", "PARPAING", "POLYSTYRENE_XPS"))
-    told = told.withColumns({f"__{k}": v for k, v in parts.items()} | {"__box": F.when(boxed, canonical_box(F.col("__label"))), "__cable": F.when(F.array_contains("__codes", "CABLE_ELEC"), cable(t))})
-    told = told.withColumn("rule", F.explode("__codes"))
-    p = {k: F.col(f"__{k}") for k in parts} | {f"cable_{k}": F.col("__cable")[k].cast("string") for k in _ELECTRICAL.keys}
-    p |= {f"{n}_box{i}": within(F.col("__box"), *b)[i].cast("string") for n, b in _BOUNDS.items() for i in range(3)}
-    identity = F.lit(None).cast("map<string,string>")
-    for c in categories:
-        identity = F.when(F.col("rule") == c.code, F.create_map(*(x for k, s in c.fields.items() for x in (F.lit(k), _value(s, t, p))))).otherwise(identity)
-    return told.withColumn("identity", identity).drop(FOLDED, "__label", "__whole", "__codes", "__pair", "__box", "__cable", *(f"__{k}" for k in parts))
+
+    def read(labels: DataFrame) -> DataFrame:
+        packed = labels.withColumn("__label", strip_pack(blank)).withColumn("__whole", F.col("__label") == blank)
+        told = stored(packed.withColumn(FOLDED, fold(F.translate("__label", *_SIGNS))))
+        told = stored(told.withColumn("__codes", codes)).where(F.size("__codes") > 0)
+        told = stored(told.withColumn("__pair", last_pair(t)))
+        parts = _measures(F.col("__label"), t, F.col("__pair"))
+        boxed = F.exists("__codes", lambda c: c.isin("BETON_CELLULAIRE", "PARPAING", "POLYSTYRENE_XPS"))
+        told = stored(told.withColumns({f"__{k}": v for k, v in parts.items()} | {"__box": F.when(boxed, canonical_box(F.col("__label"))), "__cable": F.when(F.array_contains("__codes", "CABLE_ELEC"), cable(t))}))
+        told = told.withColumn("rule", F.explode("__codes"))
+        p = {k: F.col(f"__{k}") for k in parts} | {f"cable_{k}": F.col("__cable")[k].cast("string") for k in _ELECTRICAL.keys}
+        p |= {f"{n}_box{i}": within(F.col("__box"), *b)[i].cast("string") for n, b in _BOUNDS.items() for i in range(3)}
+        identity = F.lit(None).cast("map<string,string>")
+        for c in categories:
+            identity = F.when(F.col("rule") == c.code, F.create_map(*(x for k, s in c.fields.items() for x in (F.lit(k), _value(s, t, p))))).otherwise(identity)
+        return told.withColumn("identity", identity).select(text_col, "rule", "identity")
+
+    return by_label(rows, text_col, read)

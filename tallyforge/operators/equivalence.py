@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.feeds_text import plain_value
 from tallyforge.functions.text import fold, let, parse_number, to_mm
+from tallyforge.operators.labels import stored
 from tallyforge.operators.resolve import RULES, Rule, by_rule, claims
-from tallyforge.session import ensure_checkpoint_dir
 
 # Short forms in folded labels, what is added for them, and the word that must be there as well.
 SYNONYMS = (
@@ -141,12 +141,6 @@ def _keys(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     return by_rule(rules, lambda r: r.model.keys), by_rule(rules, lambda r: tuple(k for k in r.model.secondary if k not in r.model.keys))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder: what was read is not read again, and its expressions don't grow into the next ones."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def identity_index(targets: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(rule, values, secondary, n, product): the products of each identity and each set of other attributes.
 
@@ -154,11 +148,11 @@ def identity_index(targets: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     that a rule reads whole; its own attributes go before those of the label. product is the one with the smallest id.
     """
     keys, secondary = _keys(rules)
-    read = _stored(claims(targets.withColumnRenamed("attributes", "own").withColumn("__text", expand_synonyms("designation")), rules, "__text"))
+    read = stored(claims(targets.withColumnRenamed("attributes", "own").withColumn("__text", expand_synonyms("designation")), rules, "__text"))
     own = F.coalesce(F.col("own"), F.create_map().cast("map<string,string>"))
     told = F.map_concat(F.col("attributes"), F.map_filter("identity", lambda k, v: v.isNotNull()))
     rows = read.withColumn("told", told).withColumn("mine", F.map_filter(own, lambda k, v: v.isNotNull())).withColumn("all", F.map_concat("mine", F.map_filter("told", lambda k, v: F.col("mine")[k].isNull())))
-    rows = _stored(rows.select("rule", "product_id", "designation", "name", "all"))
+    rows = stored(rows.select("rule", "product_id", "designation", "name", "all"))
     rows = rows.withColumn("values", _values("all", keys)).where("values IS NOT NULL")
     kept = F.array_sort(F.map_entries(F.transform_values(F.map_filter("all", lambda k, v: F.array_contains(secondary, k)), lambda k, v: plain_value(v))))
     one = rows.select("rule", "product_id", F.struct("designation", "name", "values", kept.alias("secondary")).alias("x")).groupBy("rule", "product_id").agg(F.min("x").alias("x"))
@@ -176,10 +170,10 @@ def equivalents(rows: DataFrame, index: DataFrame, rules: tuple[Rule, ...] = RUL
     """
     keys, secondary = _keys(rules)
     empty = F.create_map().cast("map<string,string>")
-    read = _stored(claims(rows.withColumn("__text", expand_synonyms(match_text("designation", "properties"))), rules, "__text"))
+    read = stored(claims(rows.withColumn("__text", expand_synonyms(match_text("designation", "properties"))), rules, "__text"))
     known = F.map_concat(F.map_filter("identity", lambda k, v: v.isNotNull()), "attributes")
     read = read.withColumn("o", overlay(known, typed_properties(F.coalesce("properties", empty)), F.concat(keys, secondary)))
-    read = _stored(read.select("id", "designation", "rule", "o"))
+    read = stored(read.select("id", "designation", "rule", "o"))
     # Repeated rows are judged once.
     read = read.select("id", "designation", "rule", F.col("o.conflict").alias("conflict"), F.array_sort(F.map_entries("o.values")).alias("told")).distinct()
     read = read.withColumn("told", F.map_from_entries("told")).withColumn("values", F.when(~F.col("conflict"), _values("told", keys)))

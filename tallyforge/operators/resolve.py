@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import FOLDED, angle_profile, bar_length_mm, bar_profile, diameter_lengths, dimensions, ean, fold, identity_code, length_width, let, own_key, profile_code, thickness_alone, tube_profile, weight_g
+from tallyforge.operators.labels import by_label, stored
 
 #: Nominal lengths of profiles that stand for another; others stay as they are.
 NOMINAL_LENGTHS = {2490: 2500, 2990: 3000}
@@ -164,7 +165,7 @@ def attributes(folded: Column) -> Column:
 def _read(ruled: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
     """``ruled``, which has FOLDED, with identity instead; only labels that a rule applies to are read."""
     read = {k: F.when(F.col("rule").isNotNull(), c) for k, c in _measures(F.col(text_col)).items()}
-    return ruled.withColumns(read).withColumn("identity", _identity(rules)).drop(FOLDED, *read)
+    return stored(ruled.withColumns(read)).withColumn("identity", _identity(rules)).drop(FOLDED, *read)
 
 
 def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
@@ -175,15 +176,18 @@ def extract(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "d
     rule = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: r.code, reverse=True):
         rule = F.when(r.applies(F.col(FOLDED)), r.code).otherwise(rule)
-    return _read(rows.withColumn(FOLDED, fold(text_col)).withColumn("rule", rule), rules, text_col)
+    return by_label(rows, text_col, lambda labels: _read(stored(stored(labels.withColumn(FOLDED, fold(text_col))).withColumn("rule", rule)).where("rule IS NOT NULL"), rules, text_col), "left")
 
 
 def claims(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "designation") -> DataFrame:
     """A row for each rule that applies to a label, with rule, identity and attributes; labels without a rule are left out."""
     codes = F.array_compact(F.array(*(F.when(r.applies(F.col(FOLDED)), F.lit(r.code)) for r in sorted(rules, key=lambda r: r.code))))
-    told = rows.withColumn(FOLDED, fold(text_col))
-    told = told.withColumn("attributes", attributes(F.col(FOLDED))).withColumn("rule", F.explode(codes))
-    return _read(told, rules, text_col)
+
+    def read(labels: DataFrame) -> DataFrame:
+        told = stored(stored(labels.withColumn(FOLDED, fold(text_col))).withColumn("__codes", codes)).where(F.size("__codes") > 0)
+        return _read(told.withColumn("attributes", attributes(F.col(FOLDED))).withColumn("rule", F.explode("__codes")).drop("__codes"), rules, text_col)
+
+    return by_label(rows, text_col, read)
 
 
 def by_rule(rules: tuple[Rule, ...], value) -> Column:

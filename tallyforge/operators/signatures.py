@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.functions.text import let
 from tallyforge.operators.discover import STOPWORDS
+from tallyforge.operators.labels import by_label, stored
 
 # Words that tell what a family is, and the shares from which a measure or a word counts.
 LEXICONS = {
@@ -58,13 +59,15 @@ def raw_features(label) -> Column:
 
 def read_labels(rows: DataFrame, id_col: str = "id", text_col: str = "designation", mapped: Column | None = None) -> DataFrame:
     """(id, features, hits, mapped): what each label is read for, once for all families it is in, and the lexicons it has a word of."""
-    rows = rows.withColumn(text.FOLDED, text.fold(F.coalesce(F.col(text_col), F.lit(""))))
     words = text.content_tokens(text.FOLDED, STOPWORDS)
     found = lambda w: F.array(*(F.when(F.arrays_overlap(w, F.array(*map(F.lit, lex))), F.lit(name)) for name, lex in LEXICONS.items()))
-    return rows.select(
-        F.col(id_col).alias("id"), raw_features(text_col).alias("features"), F.filter(let(words, found), lambda x: x.isNotNull()).alias("hits"),
-        (F.lit(False) if mapped is None else F.coalesce(mapped, F.lit(False))).alias("mapped"),
-    )
+    told = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), (F.lit(False) if mapped is None else F.coalesce(mapped, F.lit(False))).alias("mapped"))
+
+    def read(labels: DataFrame) -> DataFrame:
+        folded = stored(labels.withColumn(text.FOLDED, text.fold("__text")))
+        return folded.select("__text", raw_features("__text").alias("features"), F.filter(let(words, found), lambda x: x.isNotNull()).alias("hits"))
+
+    return by_label(told, "__text", read).select("id", "features", "hits", "mapped")
 
 
 def signatures(members: DataFrame, labels: DataFrame, by: str = "family", top: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money, text, units
-from tallyforge.operators import catalog, discover, live, projects, resolve, upsert
+from tallyforge.operators import catalog, discover, labels, live, projects, resolve, upsert
 from tallyforge.plans.queries import WITH_SP, query
 from tallyforge.session import table
 from tallyforge.sources import bind, feeds
@@ -74,8 +74,9 @@ def t39(spark, sf):
 @query("t40_attributes", """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'fraisee' WHEN p_partkey % 3 = 0 THEN 'hex' END AS head, CASE p_partkey % 4 WHEN 0 THEN 'torx' WHEN 1 THEN 'pozidriv' WHEN 2 THEN 'philips' END AS drive, CASE p_partkey % 5 WHEN 0 THEN 'zingue' WHEN 1 THEN 'inox' WHEN 2 THEN 'jaune' END AS finish FROM part""")
 def t40(spark, sf):
     label = F.expr("'Vis' || CASE WHEN p_partkey % 2 = 0 THEN ' tête fraisée' WHEN p_partkey % 3 = 0 THEN ' tête hexagonale' ELSE ' tête' END || element_at(array(' TX 20', ' posidriv', ' Philips', ''), CAST(p_partkey % 4 + 1 AS INT)) || element_at(array(' zinguée', ' inox A2', ' jaune', '', ''), CAST(p_partkey % 5 + 1 AS INT))")
-    a = F.col("a")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), resolve.attributes(text.fold(label)).alias("a")).select("id", *(a[c].alias(c) for c in ("head", "drive", "finish")))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), label.alias("label"))
+    read = labels.by_label(rows, "label", lambda x: labels.stored(x.withColumn("t", text.fold("label"))).select("label", resolve.attributes(F.col("t")).alias("a")))
+    return read.select("id", *(F.col("a")[c].alias(c) for c in ("head", "drive", "finish")))
 
 
 _UNITS = ("pièce", "kg", "M²", " ", None, "Sac", "litre")
