@@ -227,8 +227,7 @@ def c07(spark, sf):
 
 @query("c08_options_by_city", _LINES.replace("PARTITION BY cart_id, product_id ORDER BY", "PARTITION BY cart_id, product_id, city ORDER BY") + "SELECT cart_id, city, sum(cents)::BIGINT AS subtotal_cents, count(*) FILTER (pool = 0) AS lines_available FROM best GROUP BY 1, 2")
 def c08(spark, sf):
-    best = compare.best_lines(bind.cart_lines(spark, sf), bind.offers(spark, sf), "HT", ORIGIN, by=("cart_id", "city"))
-    return best.groupBy("cart_id", "city").agg(money.cents(F.sum("line_total")).alias("subtotal_cents"), F.count_if(F.col("availability") == "available").alias("lines_available"))
+    return compare.subtotals(bind.cart_lines(spark, sf), bind.offers(spark, sf), "city", "HT", ORIGIN)
 
 
 def _demo_carts(spark, sf) -> DataFrame:

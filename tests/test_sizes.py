@@ -57,3 +57,10 @@ def test_labels_are_read_once_each_and_by_all_tasks(spark, read):
     few = read(rows.where("id < 4")).drop("id").collect()
     many = got.drop("id").collect()
     assert {str(r) for r in many} == {str(r) for r in few} and len(many) == 1000 * len(few)
+
+
+@pytest.mark.parametrize("name", ["compare_best_offer", "r02_partial_lines", "a10_option_totals", "c08_options_by_city"])
+def test_no_row_of_a_line_and_an_offer_is_sorted_for_its_rank(spark, sf, name):
+    """The best offer was the least of structs before, for which Spark sorts all rows."""
+    sorts = [x for x in plan_of(QUERIES[name](spark, sf)).splitlines() if "SortAggregate" in x and "cart_id" in x]
+    assert not sorts, sorts
