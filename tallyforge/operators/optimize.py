@@ -14,6 +14,10 @@ from tallyforge.operators.offers import available_quantity, geolocated
 from tallyforge.session import written
 
 
+#: Tours that are sent to all tasks at most; carts with more of them meet them by site.
+MANY_TOURS = 1 << 16
+
+
 @dataclass(frozen=True)
 class CostParameters:
     per_km: str = "0.50"
@@ -67,41 +71,84 @@ def best_tours(legs: DataFrame, max_stops: int, by: str = "cart_id") -> DataFram
     return closed.groupBy(by, "mask").agg(F.min("x").alias("x")).select(by, "mask", "x.time", "x.dist", F.col("x.ord").alias("ord"))
 
 
+def _carts(lines: DataFrame, offers: DataFrame, target: str, max_agencies: int) -> DataFrame:
+    """(cart_id, keys, limits, products, site): each cart's eligible agencies and preparation limits, and the full offers of each product, best first.
+
+    ``site`` names the origin and the places of the agencies; carts with one site have the same tours. Carts
+    without a full offer of every line are left out, as nothing covers them.
+    """
+    eligible = ranked_offers(lines, offers, target).where(geolocated() & (available_quantity() >= F.col("quantity")))
+    offer = F.struct("line_total", "distance", F.col("preparation_minutes").alias("preparation"), "supplier", "agency_key", "supplier_reference", "latitude", "longitude")
+    by_line = eligible.groupBy("cart_id", "product_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pool") == 0, offer))).alias("held"), F.collect_set("agency_key").alias("keys"), F.collect_set("preparation_minutes").alias("limits")
+    )
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    carts = by_line.groupBy("cart_id").agg(F.sort_array(F.collect_list(F.when(F.size("held") > 0, F.struct("product_id", "held")))).alias("products"), every("keys"), every("limits"))
+    too_many = F.concat(F.lit("cart "), F.col("cart_id"), F.lit(f" has more than {max_agencies} eligible agencies"))
+    carts = carts.withColumn("keys", F.when(F.size("keys") > max_agencies, F.raise_error(too_many).cast("array<string>")).otherwise(F.col("keys")))
+    asked = lines.groupBy("cart_id").agg(F.count("*").alias("n_lines"), F.first(F.struct("origin_lat", "origin_lon")).alias("origin"))
+    carts = carts.hint("merge").join(asked, "cart_id").where(F.size("products") == F.col("n_lines"))
+    at = lambda o: F.array_position("keys", o["agency_key"]).cast("int")
+    numbered = F.transform("products", lambda p: F.struct(p["product_id"].alias("product_id"), F.transform(p["held"], lambda o, i: o.withField("i", i).withField("bit", F.call_function("shiftleft", F.lit(1), at(o) - 1))).alias("held")))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("products", lambda p: F.transform(p["held"], lambda o: F.struct(at(o).alias("idx"), o["latitude"].alias("latitude"), o["longitude"].alias("longitude")))))))
+    origin = F.struct(F.lit(0).alias("idx"), F.col("origin.origin_lat").cast("double").alias("latitude"), F.col("origin.origin_lon").cast("double").alias("longitude"))
+    return carts.select("cart_id", "keys", "limits", numbered.alias("products"), F.to_json(F.concat(F.array(origin), places)).alias("site"))
+
+
+def _plans(lines: DataFrame, offers: DataFrame, target: str, max_agencies: int, params: CostParameters) -> DataFrame:
+    """(cart_id, plans): of each cart the different allocations that some agencies and some preparation limit give, with tour and cost.
+
+    A cart's sets and limits are tried within its row, which the agency limit bounds. Tours are found once a site.
+    """
+    carts = written(_carts(lines, offers, target, max_agencies), "carts")
+    point = "array<struct<idx: int, latitude: double, longitude: double>>"
+    sites = written(carts.select("site").distinct(), "sites")
+    points = written(sites.select("site", F.inline(F.from_json("site", point))), "points")
+    tours = best_tours(legs(points, "site"), max_agencies, "site").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("mask", F.struct("time", "dist", "ord")))).alias("tours"))
+
+    def pick(p, subset, limit):
+        return F.get(F.filter(p["held"], lambda o: (o["bit"].bitwiseAND(subset) != 0) & (o["preparation"] <= limit)), 0)["i"]
+
+    def tried(subset):
+        # As texts, which array_distinct tells apart by hashes.
+        return F.transform("limits", lambda limit: F.array_join(F.transform("products", lambda p: pick(p, subset, limit).cast("string")), ",", "-"))
+
+    subsets = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("keys")) - 1)
+    picks = F.filter(F.array_distinct(F.flatten(F.transform(subsets, tried))), lambda x: ~F.contains(x, F.lit("-")))
+    rows = carts.select("cart_id", "keys", "products", "site", picks.alias("picks"))
+    # Carts are never the broadcast side; tours are where they are few.
+    rows = rows.join(F.broadcast(tours), "site") if sites.count() * 2**max_agencies <= MANY_TOURS else rows.hint("merge").join(tours, "site")
+
+    def chosen(text):
+        return F.transform(F.split(text, ","), lambda x, k: F.get("products", k)["held"][x.cast("int")].withField("product_id", F.get("products", k)["product_id"]))
+
+    def told(held):
+        each = lambda f: F.transform(held, lambda o: o[f])
+        return F.struct(
+            F.aggregate(each("line_total"), F.lit(0).cast("decimal(22,2)"), lambda a, x: (a + x).cast("decimal(22,2)")).alias("materials"), F.array_max(each("preparation")).alias("preparation"),
+            F.element_at("tours", F.aggregate(each("bit"), F.lit(0), lambda a, x: a.bitwiseOR(x))).alias("tour"), F.size(F.array_distinct(each("supplier"))).cast("long").alias("suppliers"),
+            F.array_sort(F.transform(held, lambda o: F.struct(o["product_id"].alias("product_id"), o["agency_key"].alias("agency_key"), o["supplier_reference"].alias("supplier_reference")))).alias("allocation"),
+        )
+
+    def shown(x):
+        km, travel = ((x["tour"][c] / 100).cast("decimal(12,2)") for c in ("dist", "time"))
+        stops = F.size(x["tour"]["ord"])
+        return F.struct(
+            plan_cost(x["materials"], km, travel, x["preparation"], stops, params).alias("cost"), x["materials"].alias("materials"), stops.alias("stops"), travel.alias("travel"),
+            F.transform(x["tour"]["ord"], lambda i: F.element_at("keys", i)).alias("stop_keys"), km.alias("km"), x["preparation"].alias("preparation"), x["allocation"].alias("allocation"), x["suppliers"].alias("suppliers"),
+        )
+
+    rows = rows.select("cart_id", "keys", F.transform(F.transform("picks", chosen), told).alias("told"))
+    return rows.select("cart_id", F.transform("told", shown).alias("plans"))
+
+
 def candidates(lines: DataFrame, offers: DataFrame, target: str, max_agencies: int, params: CostParameters) -> DataFrame:
     """Every different allocation that some set of agencies and some preparation limit gives, with tour and cost.
 
     ``lines``: cart_id, product_id, quantity, origin_lat, origin_lon. A cart with more eligible agencies
     than ``max_agencies`` is an error; none is dropped.
     """
-    eligible = ranked_offers(lines, offers, target).where(geolocated() & (available_quantity() >= F.col("quantity")))
-    eligible = written(eligible, "eligible")
-    n_lines = lines.groupBy("cart_id").agg(F.count("*").alias("n_lines"))
-    keys = eligible.groupBy("cart_id").agg(F.array_sort(F.collect_set("agency_key")).alias("keys"), F.array_sort(F.collect_set("preparation_minutes")).alias("limits"))
-    too_many = F.concat(F.lit("cart "), F.col("cart_id"), F.lit(f" has more than {max_agencies} eligible agencies"))
-    keys = keys.withColumn("keys", F.when(F.size("keys") > max_agencies, F.raise_error(too_many).cast("array<string>")).otherwise(F.col("keys")))
-    full = eligible.where("pool = 0").join(keys, "cart_id").withColumn("bit", F.expr("shiftleft(1, cast(array_position(keys, agency_key) as int) - 1)"))
-    tries = keys.select("cart_id", F.explode(F.expr("sequence(1, cast(pow(2, size(keys)) as int) - 1)")).alias("subset"), "limits").select("cart_id", "subset", F.explode("limits").alias("limit"))
-    fits = full.join(tries, "cart_id").where("subset & bit <> 0 and preparation_minutes <= limit")
-    order = "line_total, distance, preparation_minutes, supplier, agency_key, supplier_reference"
-    pick = F.expr(f"row_number() over (partition by cart_id, subset, limit, product_id order by {order})")
-    lines_of = fits.withColumn("r", pick).where("r = 1")
-    line = F.struct("product_id", "agency_key", "supplier_reference")
-    whole = lines_of.groupBy("cart_id", "subset", "limit").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("allocation"), F.sum("line_total").alias("materials"),
-        F.max("preparation_minutes").alias("preparation"), F.bit_or("bit").alias("mask"), F.countDistinct("supplier").alias("suppliers"),
-    )
-    whole = whole.join(n_lines, "cart_id").where("n = n_lines").dropDuplicates(["cart_id", "allocation"])
-    places = full.groupBy("cart_id", "agency_key").agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"), F.first("keys").alias("keys"))
-    points = written(places.select("cart_id", F.expr("cast(array_position(keys, agency_key) as int)").alias("idx"), "latitude", "longitude").union(
-        lines.select("cart_id", F.lit(0), "origin_lat", "origin_lon").distinct()
-    ), "points")
-    tours = best_tours(legs(points), max_agencies)
-    rows = whole.join(tours, ["cart_id", "mask"]).join(keys.select("cart_id", "keys"), "cart_id")
-    rows = rows.select(
-        "cart_id", "materials", (F.col("dist") / 100).cast("decimal(12,2)").alias("km"), (F.col("time") / 100).cast("decimal(12,2)").alias("travel"), "preparation",
-        F.size("ord").alias("stops"), F.transform("ord", lambda i: F.element_at("keys", i)).alias("stop_keys"), "allocation", "suppliers",
-    )
-    return rows.withColumn("cost", plan_cost("materials", "km", "travel", "preparation", "stops", params))
+    return _plans(lines, offers, target, max_agencies, params).select("cart_id", F.inline("plans"))
 
 
 PLAN = ("cart_id", "strategy", "valid", "materials", "cost", "stops", "km", "travel", "preparation", "total_minutes", "stop_keys", "allocation")
@@ -111,34 +158,38 @@ def strategies(lines: DataFrame, offers: DataFrame, target: str = "HT", max_agen
     """Three plans for every cart: one stop at the least cost, the least materials, and the least cost of all.
 
     The least materials may come from a national catalogue, without a tour; a plan with stores takes
-    its place unless it costs more. A plan that doesn't exist is a row with valid false.
+    its place unless it costs more. A plan that doesn't exist is a row with valid false. A plan's fields are in
+    the order of its rank, and allocations settle what that leaves. Carts meet their plans by merging, as files
+    that pack well look small enough to be broadcast and aren't.
     """
-    found = written(candidates(lines, offers, target, max_agencies, params), "plans")
-    rank = "cost, materials, stops, travel, stop_keys"
-    take = lambda rows, order: rows.withColumn("r", F.expr(f"row_number() over (partition by cart_id order by {order})")).where("r = 1").drop("r")
-    shape = lambda rows, name: rows.select("cart_id", F.lit(name).alias("strategy"), F.lit(True).alias("valid"), "materials", "cost", "stops", "km", "travel", "preparation", (F.col("travel") + F.col("preparation")).alias("total_minutes"), "stop_keys", "allocation")
-    single, least, compromise = (
-        shape(take(found.where("stops = 1"), rank), "single_stop"), shape(take(found, f"materials, {rank}"), "minimum_materials"), shape(take(found, rank), "best_compromise"),
+    # Fields lead with the rank: cost, materials, stops, travel, stop_keys.
+    first = F.array_min("plans")
+    found = _plans(lines, offers, target, max_agencies, params).select(
+        "cart_id", F.array_min(F.filter("plans", lambda x: x["stops"] == 1)).alias("single"),
+        F.array_min(F.transform("plans", lambda x: F.struct(x["materials"].alias("least"), x.alias("x"))))["x"].alias("least"), first.alias("compromise"),
     )
     best = best_lines(lines, offers, target).where("availability = 'available' and available_quantity >= quantity")
-    n_lines = lines.groupBy("cart_id").agg(F.count("*").alias("n_lines"))
+    asked = lines.groupBy("cart_id").agg(F.count("*").alias("n_lines"))
     national = best.groupBy("cart_id").agg(
-        F.count("*").alias("n"), F.sum("line_total").alias("m"), F.max("preparation_minutes").alias("p"), F.countDistinct("agency_key").alias("s"),
+        F.count("*").alias("n"), F.sum("line_total").alias("m"), F.max("preparation_minutes").alias("p"),
         F.array_sort(F.collect_list(F.struct("product_id", "agency_key", "supplier_reference"))).alias("alloc"), F.array_sort(F.collect_set("agency_key")).alias("k"),
-    ).join(n_lines, "cart_id").where("n = n_lines")
-    both = national.join(least, "cart_id", "full")
-    stay = F.col("materials").isNull() | (F.col("m") < F.col("materials"))
-    pick = lambda a, b: F.when(stay, a).otherwise(b)
-    none = lambda t: F.lit(None).cast(t)
-    minimum = both.select(
-        "cart_id", F.lit("minimum_materials").alias("strategy"), F.lit(True).alias("valid"), pick(F.col("m"), F.col("materials")).alias("materials"),
-        pick(F.col("m").cast("decimal(14,2)"), F.col("cost")).alias("cost"), pick(F.col("s").cast("int"), F.col("stops")).alias("stops"), pick(none("decimal(12,2)"), F.col("km")).alias("km"),
-        pick(none("decimal(12,2)"), F.col("travel")).alias("travel"), pick(F.col("p"), F.col("preparation")).alias("preparation"), pick(none("decimal(13,2)"), F.col("total_minutes").cast("decimal(13,2)")).alias("total_minutes"),
-        pick(F.col("k"), F.col("stop_keys")).alias("stop_keys"), pick(F.col("alloc"), F.col("allocation")).alias("allocation"),
     )
-    names = F.explode(F.array(*map(F.lit, ("single_stop", "minimum_materials", "best_compromise")))).alias("strategy")
-    every = lines.select("cart_id").distinct().select("cart_id", names)
-    return every.join(single.unionByName(minimum).unionByName(compromise), ["cart_id", "strategy"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).select(*PLAN)
+    every = asked.hint("merge").join(national.hint("merge"), "cart_id", "left").join(found.hint("merge"), "cart_id", "left")
+    whole = F.coalesce(F.col("n") == F.col("n_lines"), F.lit(False))
+
+    def shape(name, x):
+        return F.struct(
+            F.lit(name).alias("strategy"), x.isNotNull().alias("valid"), x["materials"].alias("materials"), x["cost"].alias("cost"), x["stops"].alias("stops"), x["km"].alias("km"), x["travel"].alias("travel"),
+            x["preparation"].alias("preparation"), (x["travel"] + x["preparation"]).cast("decimal(13,2)").alias("total_minutes"), x["stop_keys"].alias("stop_keys"), x["allocation"].alias("allocation"),
+        )
+
+    x, none = F.col("least"), lambda t: F.lit(None).cast(t)
+    catalogue = F.struct(
+        F.lit("minimum_materials").alias("strategy"), F.lit(True).alias("valid"), F.col("m").cast("decimal(22,2)").alias("materials"), F.col("m").cast("decimal(14,2)").alias("cost"), F.size("k").alias("stops"), none("decimal(12,2)").alias("km"),
+        none("decimal(12,2)").alias("travel"), F.col("p").alias("preparation"), none("decimal(13,2)").alias("total_minutes"), F.col("k").alias("stop_keys"), F.col("alloc").alias("allocation"),
+    )
+    minimum = F.when(whole & (x.isNull() | (F.col("m") < x["materials"])), catalogue).otherwise(shape("minimum_materials", x))
+    return every.select("cart_id", F.inline(F.array(shape("single_stop", F.col("single")), minimum, shape("best_compromise", F.col("compromise"))))).select(*PLAN)
 
 
 def minimum_against_single(plans: DataFrame) -> DataFrame:

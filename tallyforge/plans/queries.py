@@ -241,7 +241,7 @@ def _demo_carts(spark, sf) -> DataFrame:
 @query("c14_strategies")
 def c14(spark, sf):
     """Plans for every customer, each with a cart of demo products; the search has no SQL form, a test holds it against the published rows."""
-    return optimize.strategies(_demo_carts(spark, sf), demo.offers(spark)).select(
+    return optimize.strategies(_demo_carts(spark, sf), F.broadcast(demo.offers(spark))).select(
         "cart_id", "strategy", "valid", money.cents("materials").alias("materials_cents"), money.cents("cost").alias("cost_cents"), "stops", F.col("km").cast("double").alias("km"), F.col("travel").cast("double").alias("travel"), F.array_join("stop_keys", ",").alias("tour")
     )
 
