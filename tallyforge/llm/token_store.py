@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,15 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         split = [words_of(t) for t in texts]
         memo, long = self.memo, {}
-        new = list({w for ws in split for w in ws} - memo.keys())
+        words = set(chain.from_iterable(split))
+        if len(memo) > MEMO:
+            kept = {w: memo[w] for w in words if w in memo}
+            memo.clear()
+            memo.update(kept)
+            memo[""] = b""
+        new = list(words - memo.keys())
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for w, ids in zip(some, self._ids(some), strict=True):

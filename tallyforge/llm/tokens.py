@@ -16,8 +16,8 @@ CHUNK, OVERLAP = 1 << 13, 1 << 9
 #: pre-tokenizer decides on a boundary with a few characters of look-ahead, and an added token in
 #: a text (such as an end mark) is shorter.
 MARGIN = 64
-#: Words whose ids one worker keeps; beyond it the table starts anew.
-MEMO = 200_000
+#: Words whose ids one worker keeps; beyond it those of the rows at hand stay.
+MEMO = 700_000
 _workers: dict = {}
 
 
