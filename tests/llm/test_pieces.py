@@ -1,10 +1,37 @@
-"""Pieces that workers keep: a full table keeps the words at hand."""
+"""Pieces that workers keep: counts and ids equal the library's, and a full table keeps the words at hand."""
 
 import public_tokenizers
+import pytest
 
-from tallyforge.llm import token_store
+from tallyforge.llm import token_store, tokens
+
+BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+HARD = [
+    "", " ", "  a  b ", "don't we'll  's\n x\t y \r\n z", "<|endoftext|> a <|endoftext|>b c <|endoftext|>", "é漢😀 漢 😀 x   y\x1c z \x85 w ᠎ v",
+    "x" * 300 + " " + "y" * 300 + " z", "12 345 6.7 a1 1a ## # a#b", " lead and trail ", "a\n b \n c", "İı ſ ﬁ é a​ b ​ c", "\x01 a \x01",
+]
+
+
+@pytest.mark.parametrize("most", [tokens.MEMO, 3])
+def test_counts_by_pieces_equal_the_library(monkeypatch, most):
+    monkeypatch.setattr(tokens, "MEMO", most)
+    monkeypatch.setattr(tokens, "_workers", {})
+    counter = tokens.PieceCounter(BYTE)
+    want = [len(counter.tokenizer.encode(t, add_special_tokens=False)) for t in HARD]
+    assert [counter.count(HARD), [n for t in HARD for n in counter.count([t])]] == [want, want]
+    assert "and" in counter.memo or most == 3
+    word = tokens.PieceCounter(WORD)
+    assert word.count(HARD) == [len(word.tokenizer.encode(t, add_special_tokens=False)) for t in HARD]
+
+
+def test_boundaries_by_bytes_equal_the_librarys_offsets():
+    t = tokens.load(BYTE)
+    for text in HARD:
+        e = t.encode(text, add_special_tokens=False)
+        found, n = tokens.boundaries(t, text)
+        starts = [k for k, w in enumerate(e.word_ids) if k == 0 or w != e.word_ids[k - 1]]
+        assert n == len(e) and found.tolist() == [[e.offsets[k][0], k] for k in starts]
 
-WORD = public_tokenizers.path("word_bpe_49k.json")
 
 def test_a_full_table_keeps_the_words_at_hand(monkeypatch):
     monkeypatch.setattr(token_store, "MEMO", 3)
