@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import geo, money, text, units
 from tallyforge.operators import catalog, compare, discover, live, nearest, offers as offer_ops, optimize, projects, resolve, upsert
 from tallyforge.operators.components import connected_components
-from tallyforge.session import table, tasks, written
+from tallyforge.session import dealt, table, tasks, written
 from tallyforge.sources import bind, demo, feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,7 +533,8 @@ def a32(spark, sf):
   SELECT project_id, sum(planned)::BIGINT AS planned_cents, sum(CASE WHEN actual IS NOT NULL THEN planned END)::BIGINT AS planned_completed_cents, sum(actual)::BIGINT AS actual_completed_cents, count(actual) AS lines_completed, count(*) AS lines FROM t GROUP BY 1""")
 def a26(spark, sf):
     li = table(spark, sf, "lineitem")
-    planned = li.groupBy(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("line_key")).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("planned_total"), F.sum("l_quantity").cast("decimal(10,3)").alias("q"))
+    lines = dealt(li.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"), tasks(li), "l_orderkey", "l_partkey")
+    planned = lines.groupBy(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("line_key")).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("planned_total"), F.sum("l_quantity").cast("decimal(10,3)").alias("q"))
     bought = planned.where("line_key % 2 = 0").select("project_id", "line_key", F.col("q").alias("actual_quantity"), F.lit("10.50").cast("decimal(12,2)").alias("actual_price"), F.lit(True).alias("bought"))
     t = projects.planned_against_actual(projects.tracked_lines(planned, bought))
     return t.select("project_id", money.cents("planned").alias("planned_cents"), money.cents("planned_completed").alias("planned_completed_cents"), money.cents("actual_completed").alias("actual_completed_cents"), "lines_completed", "lines")
