@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.feeds_text import name_key, plain_value
 from tallyforge.functions.text import contains_any, fold, own_key
 from tallyforge.functions.units import normalize_unit
+from tallyforge.session import dealt
 
 
 def set_flag(rows: DataFrame, ids: DataFrame, key: str, column: str, value: bool) -> DataFrame:
@@ -128,10 +129,15 @@ def audit_exact(claims: DataFrame, keys: list[str]) -> DataFrame:
     return claims.where("reason = 'EXACT'").select("id", F.coalesce(*wrong).alias("x")).where("x is not null").select("id", "x.*")
 
 
-def kept_mappings(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(sp_id, product_id) of the mappings that were there before and aren't any more: none, if a batch did no harm."""
-    held = before.where("product_id is not null").select("sp_id", "product_id")
-    return held.exceptAll(after.select("sp_id", "product_id"))
+def kept_mappings(before: DataFrame, after: DataFrame, parts: int | None = None) -> DataFrame:
+    """(sp_id, product_id) of the mappings that were there before and aren't any more: none, if a batch did no harm.
+
+    A row goes as often as it was there more often before. Rows are dealt out before they are counted, to ``parts`` tasks if told.
+    """
+    told = lambda df, n: df.where("product_id is not null").select("sp_id", "product_id", F.lit(n).alias("n"))
+    both = dealt(told(before, 1).union(told(after, -1)), parts, "sp_id", "product_id")
+    gone = both.groupBy("sp_id", "product_id").agg(F.sum("n").alias("n")).where("n > 0")
+    return gone.select("sp_id", "product_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("n")).drop("n")
 
 
 def select_family(rows: DataFrame, prefixes: tuple[str, ...] = (), **equal: tuple[str, ...]) -> DataFrame:

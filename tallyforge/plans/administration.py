@@ -9,7 +9,7 @@ from tallyforge.functions import feeds_text
 from tallyforge.operators import administration as admin
 from tallyforge.operators import discover
 from tallyforge.plans.queries import WITH, WITH_SP, query
-from tallyforge.session import table
+from tallyforge.session import table, tasks
 from tallyforge.sources import bind
 
 
@@ -219,4 +219,4 @@ def d11(spark, sf):
 @query("e28_kept_mappings", f"{WITH_SP} SELECT sp_id, product_id FROM supplier_products WHERE product_id IS NOT NULL AND sp_id % 9 = 0")
 def e28(spark, sf):
     sp = bind.supplier_products(spark, sf)
-    return admin.kept_mappings(sp, sp.withColumn("product_id", F.when(F.col("sp_id") % 9 != 0, F.col("product_id"))))
+    return admin.kept_mappings(sp, sp.withColumn("product_id", F.when(F.col("sp_id") % 9 != 0, F.col("product_id"))), tasks(table(spark, sf, "lineitem")))

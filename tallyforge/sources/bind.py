@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import table
+from tallyforge.session import table, tasks
 
 UNITS = ("pièce", "m", "m²", "kg", "sac")
 
@@ -94,9 +94,12 @@ cart_lines AS (SELECT l_orderkey AS cart_id, l_partkey AS product_id, sum(l_quan
 
 
 def supplier_products(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each supplier and part with a line item; every seventh part is unmapped."""
+    """One row for each supplier and part with a line item; every seventh part is unmapped.
+
+    Line items are dealt out by part once, for the distinct and the join.
+    """
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    sp = li.select("l_suppkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
+    sp = li.select("l_suppkey", "l_partkey").repartition(tasks(li), "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
     k = F.col("l_partkey")
     source = F.element_at(F.array(*map(F.lit, ("manual", "exact_rule", "ean", "equiv", "import"))), (k % 5 + 1).cast("int"))
     return sp.select(
