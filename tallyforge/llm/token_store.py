@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.batches import slices
 from tallyforge.llm.tokens import MEMO, _workers, load
 from tallyforge.session import ensure_checkpoint_dir, ship_package
 
@@ -19,14 +22,26 @@ from tallyforge.session import ensure_checkpoint_dir, ship_package
 SEQUENCE, BATCH_ROWS = 2048, 256
 #: A control character that is one token, and how many words are encoded at once with it between them.
 MARK, TOGETHER = "\x01", 64
+#: Marks before which a word is cut, so that it is looked up without them.
+MARKS = ".,;:!?"
 #: Documents of one file, about.
 DOCS_PER_FILE = 20_000
 MANIFEST = "file_no int, path string, n_docs long, n_tokens long, index binary"
 
 
-def words_of(text: str) -> list[str]:
-    """Pieces between spaces and line ends; a tokenizer that drops white space encodes each on its own."""
-    return text.replace("\n", " ").split(" ")
+#: What letters and marks are told apart by: steps of a tokenizer for which _plain() holds.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _plain(tokenizer) -> bool:
+    """Whether a run of ASCII letters is one piece, lower-cased and else as it is, and ends where a mark of MARKS follows."""
+    steps = [json.loads(x.__getstate__()) if x is not None else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    pieces = steps[1].get("pretokenizers", [])
+    split = [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}]
+    bytewise = len(pieces) == 2 and pieces[1].get("type") == "ByteLevel" and not pieces[1].get("add_prefix_space")
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return steps[0].get("normalizers") == NORMAL and pieces[:1] == split and bytewise and not any(t.isalpha() or set(t) & set(MARKS) for t in added)
 
 
 class PieceEncoder:
@@ -38,11 +53,21 @@ class PieceEncoder:
         self.memo = _workers.setdefault(("ids", path), {"": b""})
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
+        self.plain, self.model = _plain(self.tokenizer), self.tokenizer.model
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words, which are encoded TOGETHER at a time, with a mark between them that none of them holds."""
+        """Ids of words, which are encoded TOGETHER at a time, with a mark between them that none of them holds.
+
+        Where a word of ASCII letters is one piece, the library's model gets it as it is, without the steps before it.
+        """
         out: list = [None] * len(words)
-        plain = [k for k, w in enumerate(words) if MARK not in w and len(w) <= 128] if self.mark is not None else []
+        if self.plain:
+            letters = [k for k, w in enumerate(words) if w.isascii() and w.isalpha()]
+            found = [[t.id for t in self.model.tokenize(words[k].lower())] for k in letters]
+            ids, cuts = np.fromiter(chain.from_iterable(found), self.dtype), np.cumsum([0, *map(len, found)])
+            for k, (a, b) in zip(letters, pairwise(cuts.tolist()), strict=True):
+                out[k] = ids[a:b].tobytes()
+        plain = [k for k, w in enumerate(words) if out[k] is None and MARK not in w and len(w) <= 128] if self.mark is not None else []
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         joined = [f" {MARK} ".join(words[k] for k in g) for g in groups]
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
@@ -56,31 +81,46 @@ class PieceEncoder:
             out[k] = np.array(e.ids, dtype=self.dtype).tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
-        memo, long = self.memo, {}
-        words = set(chain.from_iterable(split))
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; those that are kept, and the others' by the library."""
+        memo = self.memo
+        out = list(map(memo.get, words))
         if len(memo) > MEMO:
-            kept = {w: memo[w] for w in words if w in memo}
             memo.clear()
-            memo.update(kept)
+            memo.update((w, ids) for w, ids in zip(words, out, strict=True) if ids is not None)
             memo[""] = b""
-        new = list(words - memo.keys())
+        new = [k for k, ids in enumerate(out) if ids is None]
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for w, ids in zip(some, self._ids(some), strict=True):
-                (memo if len(w) <= 128 else long)[w] = ids
-        if long:
-            memo = memo | long if len(memo) < 1000 else _Both(memo, long)
-        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
-
+            for k, ids in zip(some, self._ids([words[k] for k in some]), strict=True):
+                out[k] = ids
+                if len(words[k]) <= 128:
+                    memo[words[k]] = ids
+        return out
 
-class _Both:
-    def __init__(self, *maps):
-        self.maps = maps
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts): the ids of all texts, of which text k has those from cuts[k] to cuts[k + 1].
+
+        Arrow splits the texts at spaces and line ends, as a tokenizer that drops white space encodes what is between on its
+        own, and tells the different words; Python only sees each of those once.
+        """
+        texts = pc.replace_substring(texts, pattern="\n", replacement=" ")
+        if self.plain:
+            texts = pc.replace_substring_regex(texts, pattern=f"([A-Za-z])([{MARKS}])", replacement=r"\1 \2")
+        split = pc.split_pattern(texts, pattern=" ")
+        first = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        found = self._found(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        starts, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        held, n = np.frombuffer(b"".join(found), self.dtype), sizes[code]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = held[np.repeat(starts[code] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[first - first[0]]
 
-    def __getitem__(self, key):
-        return next(m[key] for m in self.maps if key in m)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, cuts = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in pairwise(cuts)]
 
 
 def sequence_schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -178,10 +218,9 @@ def write_token_files(
         from pyarrow import fs
 
         encoder = PieceEncoder(tokenizer_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         writer = store = None
         for batch in batches:
-            for some in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for some in slices([batch], 1024):
                 if writer is None:
                     where, top = fs.FileSystem.from_uri(folder)
                     no = some.column("file_no")[0].as_py()
@@ -190,9 +229,9 @@ def write_token_files(
                     store = where.open_output_stream(path)
                     writer = StreamFileWriter(store, encoder.dtype, sequence)
                     ids, sizes = [], []
-                for row in encoder.encode(some.column("text").to_pylist()):
-                    writer.add(row + end)
-                    sizes.append((len(row) + len(end)) // encoder.dtype.itemsize)
+                found, cuts = encoder.encode_column(some.column("text"))
+                writer.add(np.insert(found, cuts[1:], end_id).tobytes())
+                sizes.extend((np.diff(cuts) + 1).tolist())
                 ids.append(some.column("id"))
         if writer is not None:
             writer.close()

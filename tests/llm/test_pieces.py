@@ -44,3 +44,33 @@ def test_a_full_table_keeps_the_words_at_hand(monkeypatch):
     got = encoder.encode(["two six one"])
     assert asked == ["six"] and set(encoder.memo) == {"", "one", "two", "six"}
     assert got == token_store.PieceEncoder(WORD).encode(["two six one"])
+
+
+def test_each_word_of_a_column_is_looked_up_once(monkeypatch):
+    """op4: Python split each text and looked up each word of it before."""
+    import pyarrow as pa
+
+    encoder = token_store.PieceEncoder(WORD)
+    seen = []
+    found = encoder._found
+    monkeypatch.setattr(encoder, "_found", lambda words: seen.extend(words) or found(words))
+    texts = [*HARD, "the and the\nand the", "", "the and"]
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    ids, cuts = encoder.encode_column(column)
+    assert len(seen) == len(set(seen)) and "the" in seen and "left" not in seen
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == want
+    assert [x.tolist() for x in encoder.encode_column(column.slice(0, 0))] == [[], [0]]
+
+
+def test_words_of_letters_go_to_the_model_itself():
+    """op4: each new word took all steps of the tokenizer before."""
+    encoder = token_store.PieceEncoder(WORD)
+    assert encoder.plain and not token_store.PieceEncoder(BYTE).plain
+    texts = [*HARD, "Mixed CASE words, and: marks!!! a.b,c;d it's. it.'s 's, x?'s don't!'ll", "a.́ é, K, K. İ. Σ. ΑΣ, ſ, a;; 1,2 b2. <|endoftext|>, x<|endoftext|>.y", "w" * 5000 + ", " + "w" * 200]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(x).cast("H")) for x in encoder.encode(texts)] == want
+    letters = [w for t in texts for w in t.split() if w.isascii() and w.isalpha()]
+    asked = []
+    encoder.tokenizer = type("Asked", (), {"encode_batch_fast": lambda self, words, **_: asked.extend(words) or []})()
+    assert letters and all(encoder._ids(letters)) and not asked
