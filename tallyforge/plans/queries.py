@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import geo, money, text, units
 from tallyforge.operators import catalog, compare, discover, live, nearest, offers as offer_ops, optimize, projects, resolve, upsert
 from tallyforge.operators.components import connected_components
-from tallyforge.session import dealt, table, tasks, written
+from tallyforge.session import dealt, table, tasks, turns, written
 from tallyforge.sources import bind, demo, feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,7 +227,10 @@ def c07(spark, sf):
 
 @query("c08_options_by_city", _LINES.replace("PARTITION BY cart_id, product_id ORDER BY", "PARTITION BY cart_id, product_id, city ORDER BY") + "SELECT cart_id, city, sum(cents)::BIGINT AS subtotal_cents, count(*) FILTER (pool = 0) AS lines_available FROM best GROUP BY 1, 2")
 def c08(spark, sf):
-    return compare.subtotals(bind.cart_lines(spark, sf), bind.offers(spark, sf), "city", "HT", ORIGIN)
+    parts = tasks(table(spark, sf, "lineitem"))
+    n = turns(parts)
+    each = -(-parts // n)
+    return compare.subtotals(bind.cart_lines(spark, sf, each), bind.offers(spark, sf, parts), "city", "HT", each, n)
 
 
 def _demo_carts(spark, sf) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import table, tasks
+from tallyforge.session import dealt, table, tasks
 
 UNITS = ("pièce", "m", "m²", "kg", "sac")
 
@@ -36,13 +36,15 @@ def agencies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def offers(spark: SparkSession, sf: str) -> DataFrame:
-    """One line item for each part and supplier stands for an offer; all its other columns break ties.
+def offers(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
+    """One line item for each part and supplier stands for an offer; its other columns break ties, but for the last one, which nothing shows.
 
-    The join with suppliers and agencies broadcasts what Spark finds small enough, and nothing else.
+    The join with suppliers and agencies broadcasts what Spark finds small enough, and nothing else. ``parts`` tells how many
+    tasks parts are dealt to; what is then grouped by part is sent once.
     """
     li = table(spark, sf, "lineitem")
-    pick = F.struct("l_linenumber", "l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = dealt(li, parts, "l_partkey") if parts else li
+    pick = F.struct("l_linenumber", "l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     one = li.groupBy("l_partkey", "l_suppkey").agg(F.min(pick).alias("x")).select("l_partkey", "l_suppkey", "x.*")
     ext = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     q = F.col("l_quantity").cast("bigint")
@@ -62,8 +64,10 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
     return base.join(s, "supplier_id").join(a, "supplier_id")
 
 
-def cart_lines(spark: SparkSession, sf: str) -> DataFrame:
+def cart_lines(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
+    """``parts`` tells how many tasks parts are dealt to, for what meets the lines by part."""
     li = table(spark, sf, "lineitem")
+    li = dealt(li, parts, "l_partkey") if parts else li
     return li.groupBy(F.col("l_orderkey").alias("cart_id"), F.col("l_partkey").alias("product_id")).agg(
         F.sum("l_quantity").cast("decimal(10,3)").alias("quantity")
     )
