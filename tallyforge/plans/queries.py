@@ -191,15 +191,20 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cart_id, produ
 """
 
 
+def _best(spark, sf) -> DataFrame:
+    parts = tasks(table(spark, sf, "lineitem"))
+    return compare.best_lines(bind.cart_lines(spark, sf, parts), bind.offers(spark, sf, parts), "HT", ORIGIN, parts=parts)
+
+
 @query("compare_best_offer", _LINES + "SELECT cart_id, product_id, supplier, supplier_reference, agency_key, packs::INT AS packs, ['available', 'partial', 'delayed', 'order_only'][pool + 1] AS availability, cents AS total_cents FROM best")
 def compare_best_offer(spark, sf):
-    best = compare.best_lines(bind.cart_lines(spark, sf), bind.offers(spark, sf), "HT", ORIGIN)
+    best = _best(spark, sf)
     return best.select("cart_id", "product_id", "supplier", "supplier_reference", "agency_key", "packs", "availability", money.cents("line_total").alias("total_cents"))
 
 
 @query("r02_partial_lines", _LINES + "SELECT cart_id, product_id, packs::INT AS packs, quantity - packs * reference_quantity AS missing FROM best WHERE pool = 1")
 def r02(spark, sf):
-    best = compare.best_lines(bind.cart_lines(spark, sf), bind.offers(spark, sf), "HT", ORIGIN).where("availability = 'partial'")
+    best = _best(spark, sf).where("availability = 'partial'")
     return best.select("cart_id", "product_id", "packs", F.col("missing_quantity").cast("bigint").alias("missing"))
 
 
@@ -207,8 +212,8 @@ def r02(spark, sf):
 got AS (SELECT cart_id, sum(cents)::BIGINT AS subtotal, count(*) FILTER (pool = 0) AS full_lines, count(*) FILTER (pool = 1) AS partial_lines, count(*) AS lines, count(DISTINCT supplier) AS suppliers, count(DISTINCT agency_key) AS agencies, max(preparation_minutes) AS prep FROM best GROUP BY 1)
 SELECT cart_id, coalesce(full_lines, 0) = n AS valid, coalesce(subtotal, 0) AS subtotal_cents, CASE WHEN coalesce(full_lines, 0) = n THEN subtotal END AS total_cents, coalesce(full_lines, 0) AS lines_available, coalesce(partial_lines, 0) AS lines_partial, n - coalesce(lines, 0) AS lines_unavailable, coalesce(suppliers, 0) AS supplier_count, coalesce(agencies, 0) AS agency_count, coalesce(prep, 0)::INT AS max_preparation_minutes FROM asked LEFT JOIN got USING (cart_id)""")
 def a10(spark, sf):
-    lines = bind.cart_lines(spark, sf)
-    t = compare.option_totals(lines, compare.best_lines(lines, bind.offers(spark, sf), "HT", ORIGIN))
+    parts = tasks(table(spark, sf, "lineitem"))
+    t = compare.cart_totals(bind.cart_lines(spark, sf, parts), bind.offers(spark, sf, parts), "HT", ORIGIN, parts)
     return t.select("cart_id", "valid", money.cents("available_subtotal").alias("subtotal_cents"), money.cents("total").alias("total_cents"), "lines_available", "lines_partial", "lines_unavailable", "supplier_count", "agency_count", F.col("max_preparation_minutes").cast("int").alias("max_preparation_minutes"))
 
 

@@ -40,10 +40,10 @@ def offers(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
     """One line item for each part and supplier stands for an offer; its other columns break ties, but for the last one, which nothing shows.
 
     The join with suppliers and agencies broadcasts what Spark finds small enough, and nothing else. ``parts`` tells how many
-    tasks parts are dealt to; what is then grouped by part is sent once.
+    tasks suppliers are dealt to; where none is small enough, offers meet them without being sent again.
     """
     li = table(spark, sf, "lineitem")
-    li = dealt(li, parts, "l_partkey") if parts else li
+    li = dealt(li, parts, "l_suppkey") if parts else li
     pick = F.struct("l_linenumber", "l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     one = li.groupBy("l_partkey", "l_suppkey").agg(F.min(pick).alias("x")).select("l_partkey", "l_suppkey", "x.*")
     ext = F.round(F.col("l_extendedprice") * 100).cast("bigint")
